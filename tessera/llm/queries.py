@@ -29,6 +29,12 @@ def op5_token_blocks(spark, sf_dir):
     return rans.write_and_read(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    from tessera.llm import suffixes
+
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     from tessera.llm import packing
 
@@ -41,7 +47,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op5_token_blocks, op7_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op5_token_blocks, op6_suffix_dedup, op7_packing, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
