@@ -17,6 +17,19 @@ def op1_simhash(spark, sf_dir):
     return simhash.components_of(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op2_sharding(spark, sf_dir):
+    from tessera.llm import sharding
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return sharding.place(docs, "doc_id", [f"shard-{i:04d}" for i in range(1000)])
+
+
+def op3_embedding_dedup(spark, sf_dir):
+    from tessera.llm import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_bpe(spark, sf_dir):
     from tessera.llm import tokens
 
@@ -41,13 +54,26 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
 
+def op8_language_id(spark, sf_dir):
+    from tessera.llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     from tessera.llm import exact
 
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op5_token_blocks, op6_suffix_dedup, op7_packing, op9_exact_dedup)}
+def op10_chat_formatting(spark, sf_dir):
+    from tessera.llm import chat
+
+    raw = chat.transcripts(table(spark, sf_dir, "conversations"))
+    return chat.parse(raw.drop("role"), chat.fit(raw))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_embedding_dedup, op4_bpe, op5_token_blocks, op6_suffix_dedup, op7_packing, op8_language_id, op9_exact_dedup, op10_chat_formatting)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

@@ -1,15 +1,17 @@
 """SimHash near-dedup (operator 1) with deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into max_bits // 2 + 1 segments: of two fingerprints that differ in at most max_bits
-bits, one segment differs in one bit at most. Each segment is indexed once for each of its bits, with that bit as a
-wildcard; if max_bits is even the last segment needs its plain value alone. Fingerprints that share a key meet in
-one sorted run and are verified. A pair counts only under the first key that it shares, so it is found once.
+A fingerprint is cut into segments. With max_bits // 2 + 1 of them, two fingerprints that differ in at most max_bits
+bits have a segment that differs in one bit at most; with fewer, this holds for most pairs and not for all. Each
+segment is indexed once for each of its bits, with that bit as a wildcard; where the count of segments leaves no bit
+for the last one, its plain value is enough. Fingerprints that share a key meet in one sorted run and are verified
+by their number of differing bits. A pair counts only under the first key that it shares, so it is found once.
 
 Only different fingerprints are indexed (copies are one entry), a run yields at most one link for each member (a
-spanning forest), and components come from tessera.llm.graph. Long runs are compared block by block.
+spanning forest), and components come from tessera.llm.graph. Long runs are compared block by block, whole.
 
-Words and shingles as in fingerprint(). A null text is an empty one; texts without words have fingerprint 0.
-Repeated rows are rows of one component. An empty table gives an empty result.
+Words and shingles as in shingle_hashes(). A null text is an empty one; texts without words have fingerprint 0.
+Rows of a null doc_id get the component of the rows they equal, or null. Repeated rows are rows of one component. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, tidy
 from tessera.llm.graph import components, merge_labels
 
-BITS = 64
+WORD = 64
 SEED = 42
 #: Members of a run that are compared with each other at once.
 BLOCK = 2048
@@ -49,132 +51,171 @@ def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> Iterator[np.nda
         yield np.array([digest(line[i:j], seed) for i, j in zip(a[k : k + 65_536], b[k : k + 65_536])], np.uint64)
 
 
-def fingerprint(text: bytes, words: int, seed: int = SEED) -> int:
-    """Bit k is 1 if it is set in over half of the shingles' hashes."""
-    ones, n = np.zeros(BITS, np.int64), 0
+def _more(h: np.ndarray, word: int) -> np.ndarray:
+    """Further bits of a hash: the hash itself for word 0."""
+    for _ in range(word):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def fingerprint(text: bytes, words: int, bits: int = WORD, seed: int = SEED) -> list[int]:
+    """Bit k is 1 if it is set in over half of the shingles' hashes; 64 bits to a number."""
+    ones, n = np.zeros((bits // WORD, WORD), np.int64), 0
     for h in shingle_hashes(text, words, seed):
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for w in range(len(ones)):
+            ones[w] += np.unpackbits(_more(h, w).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little") if n else 0
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist() if n else [0] * len(ones)
+
 
+def names(bits: int) -> list[str]:
+    return [f"f{w}" for w in range(bits // WORD)]
 
-def fingerprints(docs: DataFrame, words: int = 5, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+
+def fingerprints(docs: DataFrame, words: int = 5, bits: int = WORD, seed: int = SEED) -> DataFrame:
+    """doc_id, f0, f1, ...: the fingerprint's bits as signed longs."""
 
     def run(batches):
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
-            fps = np.array([fingerprint(t.as_py(), words, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words, bits, seed) for t in texts], np.uint64).reshape(-1, bits // WORD).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(fps[:, w].copy()) for w in range(bits // WORD))], ["doc_id", *names(bits)])
 
-    return tidy(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return tidy(docs, "doc_id", "text").mapInArrow(run, "doc_id long" + "".join(f", {f} long" for f in names(bits)))
 
 
-def segments(max_bits: int) -> list[tuple[int, int, bool]]:
-    """(lowest bit, size, whether variants are needed) of each segment."""
-    n = max_bits // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a, max_bits % 2 == 1 or i < n - 1) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+def cuts(bits: int, segments: int, max_bits: int) -> list[tuple[int, int, int, bool]]:
+    """(word, lowest bit, size, whether variants are needed) of each segment; none lies in two words."""
+    per = -(-segments // (bits // WORD))
+    out = []
+    for w in range(bits // WORD):
+        at = [WORD * i // per for i in range(per + 1)]
+        out += [(w, a, b - a, True) for a, b in zip(at, at[1:])]
+    if 2 * (len(out) - 1) >= max_bits:
+        out[-1] = (*out[-1][:3], False)
+    return out
 
 
-def index(fps: DataFrame, max_bits: int) -> DataFrame:
-    """kind (which segment and wildcard), key and fp of each variant of each fingerprint."""
+def index(fps: DataFrame, segments: list[tuple[int, int, int, bool]], words: list[str]) -> DataFrame:
+    """kind (which segment and wildcard), key, id and fingerprint of each variant of each fingerprint."""
     variants = []
-    for low, size, wild in segments(max_bits):
-        segment = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1))
+    for word, low, size, wild in segments:
+        segment = F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << size) - 1))
         for i in range(size if wild else 1):
             value = segment.bitwiseAND(F.lit(((1 << size) - 1) ^ (1 << i))) if wild else segment
             variants.append(F.struct(F.lit(len(variants)).alias("kind"), value.alias("key")))
-    return fps.select("fp", F.explode(F.array(*variants)).alias("v")).select("v.kind", "v.key", "fp")
-
-
-def _kinds(max_bits: int) -> tuple[list[int], list[list[int]], list[int]]:
-    """For each kind: mask of its segment, masks of the segments before it, the wildcard's bit (0: none)."""
-    own, before, wild, seen = [], [], [], []
-    for low, size, w in segments(max_bits):
-        mask = ((1 << size) - 1) << low
-        for i in range(size if w else 1):
-            own.append(mask)
-            before.append(list(seen))
-            wild.append((1 << low + i) if w else 0)
-        seen.append(mask)
-    return own, before, wild
-
-
-def links(fps: DataFrame, max_bits: int) -> DataFrame:
-    """a, b: a spanning forest of each run of fingerprints that differ in at most max_bits bits."""
-    own, before, wild = _kinds(max_bits)
-    firsts = {k for k in range(len(own)) if k == 0 or own[k] != own[k - 1]}
-
-    def valid(kind: int, x: np.ndarray) -> np.ndarray:
-        """Which differences x are close enough and belong to this kind first."""
-        ok = np.bitwise_count(x) <= max_bits
-        part = x & np.uint64(own[kind])
-        ok &= (part == np.uint64(wild[kind])) | ((part == 0) if kind in firsts else False)
-        for mask in before[kind]:
-            ok &= np.bitwise_count(x & np.uint64(mask)) > 1
+    return fps.select("id", *words, F.explode(F.array(*variants)).alias("v")).select("v.kind", "v.key", "id", *words)
+
+
+class Verify:
+    """Whether a pair is close enough and belongs to the key under which it was met."""
+
+    def __init__(self, segments: list[tuple[int, int, int, bool]], max_bits: int):
+        self.max_bits, self.own, self.before, self.wild, self.first = max_bits, [], [], [], []
+        seen: list[tuple[int, np.uint64]] = []
+        for word, low, size, w in segments:
+            mask = np.uint64(((1 << size) - 1) << low)
+            for i in range(size if w else 1):
+                self.own.append((word, mask))
+                self.before.append(list(seen))
+                self.wild.append(np.uint64((1 << low + i) if w else 0))
+                self.first.append(i == 0)
+            seen.append((word, mask))
+
+    def __call__(self, kind: int, x: list[np.ndarray]) -> np.ndarray:
+        """x: differing bits, an array for each word."""
+        ok = sum(np.bitwise_count(w).astype(np.int16) for w in x) <= self.max_bits
+        word, mask = self.own[kind]
+        part = x[word] & mask
+        ok &= (part == self.wild[kind]) | (part == 0) if self.first[kind] else part == self.wild[kind]
+        for word, mask in self.before[kind]:
+            if not ok.any():
+                break
+            ok &= np.bitwise_count(x[word] & mask) > 1
         return ok
 
-    def forest(kinds: np.ndarray, keys: np.ndarray, fp: np.ndarray):
-        """Whole runs, sorted by kind, key and fp."""
-        cut = np.flatnonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0)) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-        size = ends - starts
-        labels = np.arange(len(fp))
-        for many in ({2} if (size == 2).any() else set()) | set(np.unique(size[size > 2]).tolist()):
-            at = starts[size == many]
-            if many <= 64:
-                # Runs of one length: one comparison for each pair of places.
-                for kind in np.unique(kinds[at]):
-                    s = at[kinds[at] == kind]
-                    for i in range(many):
-                        for j in range(i + 1, many):
-                            ok = valid(int(kind), fp[s + i] ^ fp[s + j])
-                            labels = merge_labels(labels, s[ok] + i, s[ok] + j)
-            else:
-                for s in at.tolist():
-                    run, kind = fp[s : s + many], int(kinds[s])
-                    for i in range(0, many, BLOCK):
-                        for j in range(i, many, BLOCK):
-                            x, y = np.nonzero(valid(kind, run[i : i + BLOCK, None] ^ run[None, j : j + BLOCK]))
-                            labels = merge_labels(labels, s + i + x, s + j + y)
-        out = np.flatnonzero(labels != np.arange(len(fp)))
-        return fp[out].view(np.int64), fp[labels[out]].view(np.int64)
+
+def forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, verify: Verify) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the close pairs of whole runs of equal keys, of one kind."""
+    new = np.flatnonzero(np.diff(key)) + 1
+    starts = np.concatenate([[0], new])
+    size = np.diff(np.concatenate([starts, [len(key)]]))
+    left = np.repeat(starts + size, size) - np.arange(len(key))  # members from here to the run's end
+    labels = np.arange(len(key))
+    short = np.repeat(size <= 256, size)
+    at, k = np.flatnonzero(short & (left > 1)), 1
+    while len(at):
+        ok = verify(kind, [fp[at, w] ^ fp[at + k, w] for w in range(fp.shape[1])])
+        labels = merge_labels(labels, at[ok], at[ok] + k)
+        k += 1
+        at = at[left[at] > k]
+    for s, n in zip(starts[size > 256].tolist(), size[size > 256].tolist()):
+        for i in range(0, n, BLOCK):
+            for j in range(i, n, BLOCK):
+                a, b = fp[s + i : s + min(n, i + BLOCK)], fp[s + j : s + min(n, j + BLOCK)]
+                x, y = np.nonzero(verify(kind, [a[:, None, w] ^ b[None, :, w] for w in range(fp.shape[1])]))
+                labels = merge_labels(labels, s + i + x, s + j + y)
+    out = np.flatnonzero(labels != np.arange(len(key)))
+    return ids[out], ids[labels[out]]
+
+
+def links(fps: DataFrame, bits: int, segments: int, max_bits: int) -> DataFrame:
+    """a, b: ids whose fingerprints (id, f0, ...: all different) differ in at most max_bits bits, as spanning forests."""
+    words = names(bits)
+    parts = cuts(bits, segments, max_bits)
 
     def run(batches):
+        verify = Verify(parts, max_bits)
         held: list[tuple] = []
+
+        def flush():
+            key, ids, fp = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
+            a, b = forest(held[0][0], key, ids, fp, verify)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
-            kinds, keys = batch.column("kind").to_numpy(), batch.column("key").to_numpy()
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            if not len(fp):
-                continue
-            # The last run may go on in the next batch.
-            last = np.flatnonzero((kinds != kinds[-1]) | (keys != keys[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (kinds[0], keys[0])):
-                held.append((kinds[:cut], keys[:cut], fp[:cut]))
-                a, b = forest(*(np.concatenate(x) for x in zip(*held)))
-                held = [(kinds[cut:], keys[cut:], fp[cut:])]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            elif cut:
-                a, b = forest(kinds[:cut], keys[:cut], fp[:cut])
-                held = [(kinds[cut:], keys[cut:], fp[cut:])]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            else:
-                held.append((kinds, keys, fp))
+            kinds, key, ids = (batch.column(n).to_numpy() for n in ("kind", "key", "id"))
+            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+            edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                kind = int(kinds[a])
+                # A run may go on in the next batch: only what precedes the last key is complete.
+                if held and (held[-1][0] != kind or held[-1][1][-1] != key[a]):
+                    yield flush()
+                    held = []
+                other = np.flatnonzero(key[a:b] != key[b - 1])
+                c = a + (int(other[-1]) + 1 if len(other) else 0)
+                if c > a:
+                    held.append((kind, key[a:c], ids[a:c], fp[a:c]))
+                    yield flush()
+                    held = []
+                held.append((kind, key[c:b], ids[c:b], fp[c:b]))
         if held:
-            a, b = forest(*(np.concatenate(x) for x in zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield flush()
+
+    rows = index(fps, parts, words).repartition("kind", "key").sortWithinPartitions("kind", "key")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int = WORD, segments: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (hex digits), component_id: the smallest doc_id that links lead to."""
+    fs = names(bits)
+    own = stored(fingerprints(docs, words, bits), "fingerprints")
+    each = own.groupBy(*fs).agg(F.min("doc_id").alias("id"))
+    tree = components(links(each.filter("id is not null"), bits, segments or max_bits // 2 + 1, max_bits))
+    named = each.join(tree.withColumnsRenamed({"a": "id", "b": "top"}), "id", "left").select(*fs, F.coalesce("top", "id").alias("component_id"))
+    digits = F.lower(F.concat(*(F.lpad(F.hex(f), 16, "0") for f in reversed(fs))))
+    return own.join(named, fs).select("doc_id", digits.alias("fingerprint"), "component_id")
 
-    return index(fps, max_bits).repartition("kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(run, "a long, b long").distinct()
 
+def kept_rows(docs: DataFrame, words: int = 5, max_bits: int = 20, bits: int = 128, segments: int = 8) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest doc_id of their component.
 
-def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links lead to."""
-    own = stored(fingerprints(docs, words), "fingerprints")
-    each = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tree = components(links(each.select("fp"), max_bits))
-    named = each.join(tree.withColumnsRenamed({"a": "fp", "b": "top"}), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
-    tops = named.groupBy("top").agg(F.min("least").alias("component_id"))
-    ids = named.select("fp", "top").join(tops, "top").select("fp", "component_id")
-    return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    By default a pair is near at 20 of 128 bits or fewer, which five-word shingles reach at a similarity (Jaccard) of
+    about 0.8. Rows without doc_id stay.
+    """
+    gone = components_of(docs, words, max_bits, bits, segments).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
