@@ -1,4 +1,576 @@
-"""Queries by name, with SQL that gives the same rows."""
+"""Queries by name over the tables of a folder, and SQL that gives the same rows in an independent engine."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import boxes
+from tessera.operators import joins, profile, prune, trees
+from tessera.plans import order, select, workload
+from tessera.plans.corpus import SQL
+from tessera.sources import tables as T
+
+#: Boxes over lineitem that serve the geometric operators.
+BOXES = [
+    {"l_orderkey": (100.0, 900.0), "l_quantity": (5.0, 20.0)},
+    {"l_orderkey": (500.0, 1200.0), "l_quantity": (10.0, 30.0)},
+    {"l_orderkey": (0.0, 300.0), "l_quantity": (40.0, 50.0)},
+    {"l_orderkey": (1000.0, 1400.0), "l_quantity": (1.0, 50.0)},
+]
+POINTS = [(600.0, 15.0), (100.0, 5.0), (1100.0, 45.0), (50.0, 1.0)]
+BLOCKS, LEVELS = 32, 3  # a block holds rows / BLOCKS; levels of the median trees below
+TREES = {"a": ("orders", "o_orderkey", LEVELS), "b": ("lineitem", "l_orderkey", LEVELS)}
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _corpus(text: str):
+    def run(spark, sf_dir):
+        T.register(spark, sf_dir)
+        return spark.sql(text)
+
+    return run
+
+
+for _name, _text in SQL.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _corpus(_text), _text
+
+
+def _axis_sql(d: str) -> str:
+    return f"CAST(date_diff('day', DATE '1970-01-01', CAST({d} AS DATE)) AS DOUBLE)" if d in T.DATES else f"CAST({d} AS DOUBLE)"
+
+
+def _values(rows, names: str) -> str:
+    text = lambda v: f"'{v}'" if isinstance(v, str) else "NULL" if v is None else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else f"CAST({v} AS BIGINT)"
+    return f"(VALUES {', '.join('(' + ', '.join(text(v) for v in r) + ')' for r in rows)}) AS v({names})"
+
+
+def _box_rows() -> list[tuple]:
+    return [(i, d, lo, hi) for i, b in enumerate(BOXES) for d, (lo, hi) in b.items()]
+
+
+def _box_table(spark) -> DataFrame:
+    return spark.createDataFrame(_box_rows(), "box_id long, dim string, lo double, hi double")
+
+
+_BOX_SQL = f"(SELECT * FROM {_values(_box_rows(), 'box_id, dim, lo, hi')})"
+_DOMAIN_SQL = " UNION ALL ".join(f"SELECT '{d}' AS dim, min({_axis_sql(d)}) AS lo, max({_axis_sql(d)}) AS hi FROM lineitem" for d in ("l_orderkey", "l_quantity"))
+_EDGE_ROWS = [(q, i, *e) for q, (_, es) in workload.WORKLOAD.items() for i, e in enumerate(es)]
+_EDGE_SQL = f"(SELECT * FROM {_values(_EDGE_ROWS, 'query_id, ord, left_table, left_col, right_table, right_col')})"
+_RANGE_SQL = " UNION ALL ".join(
+    f"SELECT CAST({q} AS BIGINT) AS query_id, '{t}' AS table_name, '{d}' AS dim, min({_axis_sql(d)}) AS lo, max({_axis_sql(d)}) AS hi FROM {t} WHERE {p}" for q, (ts, _) in workload.WORKLOAD.items() for t, p in ts.items() if p for d in T.DIMS[t]
+)
+
+
+def _domain(spark, sf_dir) -> DataFrame:
+    return profile.min_max(T.load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity"], "lineitem").select(F.col("column_name").alias("dim"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"))
+
+
+# Profiles and cleaning
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{d}' AS column_name, min({_axis_sql(d)}) AS lo, max({_axis_sql(d)}) AS hi FROM {t}" for t, ds in T.DIMS.items() for d in ds))
+def profile_minmax(spark, sf_dir):
+    return profile.union([profile.min_max(T.load(spark, sf_dir, t), ds, t) for t, ds in T.DIMS.items()])
+
+
+_TEXTS = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderkey", "o_orderstatus", "o_orderpriority"], "lineitem": ["l_orderkey", "l_linenumber", "l_returnflag"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(coalesce(max(length(CAST({c} AS VARCHAR))), 0) AS BIGINT) AS width FROM {t}" for t, cs in _TEXTS.items() for c in cs))
+def profile_widths_text(spark, sf_dir):
+    return profile.union([profile.widths(T.load(spark, sf_dir, t), cs, t) for t, cs in _TEXTS.items()])
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in T.DIMS))
+def profile_rowcounts(spark, sf_dir):
+    return profile.union([profile.row_count(T.load(spark, sf_dir, t), t) for t in T.DIMS])
+
+
+@query(" UNION ALL ".join(f"SELECT 'events' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS n_nulls FROM (SELECT event_id, nullif(event_type, 'click') AS event_type, CASE WHEN value > 50 THEN value END AS value FROM events) e" for c in ("event_id", "event_type", "value")))
+def null_census(spark, sf_dir):
+    e = T.load(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("event_type"), F.when(F.col("value") > 50, F.col("value")).alias("value"))
+    return profile.null_census(e, "events")
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN value > 50 THEN value END AS value FROM events) e WHERE value IS NOT NULL")
+def drop_null_rows(spark, sf_dir):
+    return profile.drop_nulls(T.load(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 50, F.col("value")).alias("value")), ["value"])
+
+
+@query("SELECT least(1.0, 20000.0 / max(n)) AS rate FROM (" + " UNION ALL ".join(f"SELECT CAST(count(*) AS DOUBLE) AS n FROM {t}" for t in T.DIMS) + ") x WHERE n > 10000")
+def sample_rate_global(spark, sf_dir):
+    big = profile_rowcounts(spark, sf_dir).where("n_rows > 10000")
+    return big.agg(F.least(F.lit(1.0), F.lit(20000.0) / F.max("n_rows")).alias("rate"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{'text' if c in ('c_name', 'c_mktsegment', 's_name', 'n_name', 'r_name') else 'dimension'}' AS kind" for t, cs in {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}.items() for c in cs))
+def column_kinds(spark, sf_dir):
+    return spark.createDataFrame([r for t in ("region", "nation", "customer", "supplier") for r in profile.kinds(T.load(spark, sf_dir, t), t)], "table_name string, column_name string, kind string")
+
+
+# Boxes
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 900 AND l_quantity BETWEEN 5 AND 20")
+def box_filter_rows(spark, sf_dir):
+    return T.load(spark, sf_dir, "lineitem").where(boxes.inside(BOXES[0])).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS box_id, count(*) AS n FROM lineitem WHERE " + " AND ".join(f"{d} BETWEEN {lo} AND {hi}" for d, (lo, hi) in b.items()) for i, b in enumerate(BOXES)))
+def box_counts_exact(spark, sf_dir):
+    return boxes.counts(T.load(spark, sf_dir, "lineitem"), BOXES)
+
+
+@query(f"SELECT b.box_id, CAST(floor(exp(sum(ln((b.hi - b.lo) / (d.hi - d.lo)))) * (SELECT count(*) FROM lineitem) + 1e-6) AS BIGINT) AS n FROM {_BOX_SQL} b JOIN ({_DOMAIN_SQL}) d ON b.dim = d.dim GROUP BY b.box_id")
+def box_counts_uniform(spark, sf_dir):
+    share = F.exp(F.sum(F.log(boxes.uniform_count(F.col("lo"), F.col("hi"), F.col("d_lo"), F.col("d_hi")))))
+    n = profile.row_count(T.load(spark, sf_dir, "lineitem"), "lineitem")
+    return _box_table(spark).join(F.broadcast(_domain(spark, sf_dir)), "dim").groupBy("box_id").agg(share.alias("share")).crossJoin(F.broadcast(n)).select("box_id", F.floor(F.col("share") * F.col("n_rows") + 1e-6).alias("n"))
+
+
+@query(f"SELECT a.box_id AS q, b.box_id AS p, min(CASE WHEN a.lo > b.hi OR a.hi < b.lo THEN 0 WHEN a.lo >= b.lo AND a.hi <= b.hi THEN 2 ELSE 1 END) AS class FROM {_BOX_SQL} a JOIN {_BOX_SQL} b ON a.dim = b.dim GROUP BY a.box_id, b.box_id")
+def box_overlap_class(spark, sf_dir):
+    a, b = _box_table(spark).alias("a"), _box_table(spark).alias("b")
+    kind = boxes.overlap_class(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
+    return a.join(b, F.col("a.dim") == F.col("b.dim")).groupBy(F.col("a.box_id").alias("q"), F.col("b.box_id").alias("p")).agg(F.min(kind).alias("class"))
+
+
+@query(f"SELECT b.box_id, b.dim, greatest(b.lo, d.lo) AS lo, least(b.hi, d.hi) AS hi FROM {_BOX_SQL} b JOIN ({_DOMAIN_SQL}) d ON b.dim = d.dim")
+def box_clip(spark, sf_dir):
+    lo, hi = boxes.clip(F.col("lo"), F.col("hi"), F.col("d_lo"), F.col("d_hi"))
+    return _box_table(spark).join(F.broadcast(_domain(spark, sf_dir)), "dim").select("box_id", "dim", lo.alias("lo"), hi.alias("hi"))
+
+
+@query(f"SELECT dim, min(lo) AS lo, max(hi) AS hi FROM {_BOX_SQL} b GROUP BY dim")
+def mbr_of_boxes(spark, sf_dir):
+    return boxes.bounding(_box_table(spark))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS mbr, CAST(0 AS DOUBLE) AS lo, CAST(1400 AS DOUBLE) AS hi, count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 0 AND 1400 AND l_quantity BETWEEN 1 AND 50")
+def mbr_merge(spark, sf_dir):
+    merged = sorted(boxes.merge_open(BOXES), key=lambda b: b["l_orderkey"][0])
+    n = boxes.counts(T.load(spark, sf_dir, "lineitem"), merged)
+    rows = spark.createDataFrame([(i, *b["l_orderkey"]) for i, b in enumerate(merged)], "mbr long, lo double, hi double")
+    return rows.join(n, F.col("mbr") == F.col("box_id")).select("mbr", "lo", "hi", "n")
+
+
+@query(f"SELECT p.i AS point_id, count(*) AS n FROM (SELECT * FROM {_values([(i, *p) for i, p in enumerate(POINTS)], 'i, x, y')}) p JOIN {_BOX_SQL} a ON a.dim = 'l_orderkey' AND p.x BETWEEN a.lo AND a.hi JOIN {_BOX_SQL} b ON b.dim = 'l_quantity' AND b.box_id = a.box_id AND p.y BETWEEN b.lo AND b.hi GROUP BY p.i")
+def point_in_box_counts(spark, sf_dir):
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(POINTS)], "point_id long, l_orderkey double, l_quantity double")
+    n = reduce(lambda a, b: a + b, (boxes.inside(b).cast("long") for b in BOXES))
+    return points.select("point_id", n.alias("n")).where("n > 0")
+
+
+@query(f"SELECT box_id, CASE WHEN lo >= 500 THEN 'R' WHEN hi <= 500 THEN 'L' ELSE 'M' END AS side FROM {_BOX_SQL} b WHERE dim = 'l_orderkey'")
+def query_split_3way(spark, sf_dir):
+    return _box_table(spark).where("dim = 'l_orderkey'").select("box_id", boxes.side_of_cut(F.col("lo"), F.col("hi"), F.lit(500.0)).alias("side"))
+
+
+@query(f"SELECT v, count(*) FILTER (WHERE lo < v AND hi > v) AS n FROM {_BOX_SQL} b CROSS JOIN (SELECT DISTINCT lo AS v FROM {_BOX_SQL} c WHERE dim = 'l_orderkey') c WHERE dim = 'l_orderkey' GROUP BY v")
+def crossing_counts(spark, sf_dir):
+    b = _box_table(spark).where("dim = 'l_orderkey'")
+    return b.select(F.col("lo").alias("v")).distinct().join(F.broadcast(b), how="cross").groupBy("v").agg(F.count_if((F.col("lo") < F.col("v")) & (F.col("hi") > F.col("v"))).alias("n"))
+
+
+@query("SELECT round(max(f), 9) AS scale FROM (SELECT greatest(abs(l_orderkey - 500.0) / 400.0, abs(l_quantity - 12.5) / 7.5) AS f FROM lineitem ORDER BY 1 LIMIT 501) x")
+def extend_bound_chebyshev(spark, sf_dir):
+    return spark.createDataFrame([(round(boxes.extend_chebyshev(T.load(spark, sf_dir, "lineitem"), BOXES[0], 500), 9),)], "scale double")
+
+
+# Workload
+
+
+@query(_RANGE_SQL)
+def filtered_ranges(spark, sf_dir):
+    return workload.filtered_ranges(spark, sf_dir)
+
+
+def _boxes_of(spark, sf_dir):
+    own = workload.as_boxes(workload.filtered_ranges(spark, sf_dir))
+    domains: dict = {}
+    for r in profile_minmax(spark, sf_dir).collect():
+        domains.setdefault(r.table_name, {})[r.column_name] = (r.lo, r.hi)
+    return own, domains
+
+
+def _class_sql() -> str:
+    """The joined columns of each query, with the name of their class."""
+    rows = []
+    for q, (_, es) in workload.WORKLOAD.items():
+        classes: list[set] = []
+        for lt, lc, rt, rc in es:
+            hit = [c for c in classes if (lt, lc) in c or (rt, rc) in c]
+            classes = [c for c in classes if c not in hit] + [set().union(*hit, {(lt, lc), (rt, rc)})]
+        rows += [(q, i, t, c) for i, cl in enumerate(classes) for t, c in sorted(cl)]
+    return f"(SELECT * FROM {_values(rows, 'query_id, cls, table_name, dim')})"
+
+
+@query(f"""WITH r AS ({_RANGE_SQL}), k AS {_class_sql()}, d AS ({ORACLE_SQL['profile_minmax']}),
+    m AS (SELECT k.query_id, k.cls, max(r.lo) AS lo, min(r.hi) AS hi FROM k JOIN r ON k.query_id = r.query_id AND k.table_name = r.table_name AND k.dim = r.dim GROUP BY 1, 2),
+    p AS (SELECT k.query_id, k.table_name, k.dim, m.lo, m.hi FROM k JOIN m ON k.query_id = m.query_id AND k.cls = m.cls
+          UNION ALL SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = r.query_id AND k.table_name = r.table_name AND k.dim = r.dim))
+    SELECT p.* FROM p JOIN d ON p.table_name = d.table_name AND p.dim = d.column_name WHERE p.lo <> d.lo OR p.hi <> d.hi""")
+def range_propagation(spark, sf_dir):
+    return workload.as_rows(spark, workload.propagate(*_boxes_of(spark, sf_dir)))
+
+
+@query(f"SELECT r.* FROM ({_RANGE_SQL}) r JOIN ({ORACLE_SQL['profile_minmax']}) d ON r.table_name = d.table_name AND r.dim = d.column_name WHERE r.lo <> d.lo OR r.hi <> d.hi")
+def range_minimise(spark, sf_dir):
+    domain = profile_minmax(spark, sf_dir).select("table_name", F.col("column_name").alias("dim"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"))
+    return workload.filtered_ranges(spark, sf_dir).join(F.broadcast(domain), ["table_name", "dim"]).where("lo <> d_lo OR hi <> d_hi").select("query_id", "table_name", "dim", "lo", "hi")
+
+
+@query(f"SELECT query_id, min(ord) AS ord, least(left_table, right_table) AS t1, greatest(left_table, right_table) AS t2 FROM {_EDGE_SQL} e GROUP BY query_id, least(left_table, right_table), greatest(left_table, right_table)")
+def join_edges_dedup(spark, sf_dir):
+    return workload.dedup_edges(workload.edges(spark)).select("query_id", "ord", F.least("left_table", "right_table").alias("t1"), F.greatest("left_table", "right_table").alias("t2"))
+
+
+@query(f"SELECT table_name, col, count(*) AS n FROM (SELECT left_table AS table_name, left_col AS col FROM {_EDGE_SQL} a UNION ALL SELECT right_table, right_col FROM {_EDGE_SQL} b) x GROUP BY table_name, col")
+def join_freqs(spark, sf_dir):
+    return workload.key_use(workload.edges(spark))
+
+
+@query(f"SELECT key1, key2, count(*) AS n FROM (SELECT left_table || '.' || left_col AS key1, right_table || '.' || right_col AS key2 FROM {_EDGE_SQL} a UNION ALL SELECT right_table || '.' || right_col, left_table || '.' || left_col FROM {_EDGE_SQL} b) x GROUP BY key1, key2")
+def key_adjacency(spark, sf_dir):
+    return workload.key_pairs(workload.edges(spark))
+
+
+# Layouts
+
+
+def _frame(spark, sf_dir, table):
+    df = T.axes(T.load(spark, sf_dir, table), table)
+    n = T.load(spark, sf_dir, table).count()
+    return df, max(1, n // BLOCKS)
+
+
+def _median(spark, sf_dir, table, key, levels):
+    df, b = _frame(spark, sf_dir, table)
+    return trees.median_tree(df, key, levels, b)
+
+
+def _tree_sql(table: str, key: str, levels: int) -> str:
+    """CTEs whose last, a<levels>, holds k, leaf, lo, hi of every row."""
+    ctes = [f"p AS (SELECT greatest(1, floor(count(*) / {BLOCKS})) AS b, min(CAST({key} AS DOUBLE)) AS lo, max(CAST({key} AS DOUBLE)) AS hi FROM {table})", f"a0 AS (SELECT CAST({key} AS DOUBLE) AS k, CAST(1 AS BIGINT) AS leaf, p.lo, p.hi FROM {table} CROSS JOIN p)"]
+    for i in range(levels):
+        ctes.append(f"s{i} AS (SELECT leaf, count(*) AS n, median(k) AS m FROM a{i} GROUP BY leaf)")
+        ctes.append(f"c{i} AS (SELECT a.leaf, s.n, s.m, sum(CASE WHEN a.k < s.m THEN 1 ELSE 0 END) AS nl FROM a{i} a JOIN s{i} s ON a.leaf = s.leaf GROUP BY a.leaf, s.n, s.m)")
+        ok = f"(c.nl >= p.b AND c.n - c.nl >= p.b AND c.leaf >= {2**i})"
+        ctes.append(f"a{i + 1} AS (SELECT a.k, CAST(CASE WHEN {ok} THEN 2 * a.leaf + CASE WHEN a.k < c.m THEN 0 ELSE 1 END ELSE a.leaf END AS BIGINT) AS leaf, CASE WHEN {ok} AND a.k >= c.m THEN c.m ELSE a.lo END AS lo, CASE WHEN {ok} AND a.k < c.m THEN c.m ELSE a.hi END AS hi FROM a{i} a JOIN c{i} c ON a.leaf = c.leaf CROSS JOIN p)")
+    return ", ".join(ctes)
+
+
+def _leaf_sql(table: str, key: str, levels: int = LEVELS) -> str:
+    return f"(WITH {_tree_sql(table, key, levels)} SELECT leaf, count(*) AS n, min(lo) AS lo, max(hi) AS hi FROM a{levels} GROUP BY leaf)"
+
+
+def _leaves(spark, sf_dir, table, key, levels=LEVELS):
+    return _median(spark, sf_dir, table, key, levels).leaf_table(spark, [key]).withColumnsRenamed({f"lo_{key}": "lo", f"hi_{key}": "hi"})
+
+
+@query(f"SELECT * FROM {_leaf_sql('lineitem', 'l_orderkey', 4)} x")
+def median_tree_leaves_lineitem_orderkey(spark, sf_dir):
+    return _leaves(spark, sf_dir, "lineitem", "l_orderkey", 4)
+
+
+@query(f"SELECT * FROM {_leaf_sql('orders', 'o_custkey')} x")
+def median_tree_leaves_orders_custkey(spark, sf_dir):
+    return _leaves(spark, sf_dir, "orders", "o_custkey")
+
+
+@query(f"WITH {_tree_sql('orders', 'o_custkey', LEVELS)} SELECT k, leaf, count(*) AS n FROM a{LEVELS} GROUP BY k, leaf")
+def median_tree_assign(spark, sf_dir):
+    tree = _median(spark, sf_dir, "orders", "o_custkey", LEVELS)
+    df, _ = _frame(spark, sf_dir, "orders")
+    return df.select(F.col("o_custkey").alias("k"), tree.leaf().alias("leaf")).groupBy("k", "leaf").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST(max(floor(log2(leaf))) AS BIGINT) AS depth, count(*) AS leaves FROM {_leaf_sql('lineitem', 'l_orderkey', 4)} x")
+def tree_depth(spark, sf_dir):
+    t = _median(spark, sf_dir, "lineitem", "l_orderkey", 4)
+    return spark.createDataFrame([(t.depth, len(t.leaves))], "depth long, leaves long")
+
+
+@query(f"SELECT round(sum(n) / (count(*) * 2.0 * max(b)), 9) AS utilisation, count(*) AS blocks FROM {_leaf_sql('lineitem', 'l_orderkey', 4)} x CROSS JOIN (SELECT greatest(1, floor(count(*) / {BLOCKS})) AS b FROM lineitem) p")
+def block_utilisation(spark, sf_dir):
+    df, b = _frame(spark, sf_dir, "lineitem")
+    leaves = _leaves(spark, sf_dir, "lineitem", "l_orderkey", 4)
+    return leaves.agg(F.round(F.sum("n") / (F.count("*") * 2.0 * b), 9).alias("utilisation"), F.count("*").alias("blocks"))
+
+
+_CUTS = trees.candidate_cuts({"l_orderkey": (-1e18, 1e18), "l_quantity": (-1e18, 1e18)}, BOXES)
+
+
+def _gain_sql() -> str:
+    out = []
+    for i, (d, v) in enumerate(_CUTS):
+        r = [b[d] for b in BOXES]
+        qr, ql = sum(lo >= v for lo, _ in r), sum(lo < v and hi <= v for lo, hi in r)
+        out.append(f"SELECT CAST({i} AS BIGINT) AS ord, '{d}' AS dim, CAST({v} AS DOUBLE) AS v, count(*) FILTER (WHERE {d} < {v}) AS n_left, {len(r)} * count(*) - {len(r) - qr} * count(*) FILTER (WHERE {d} < {v}) - {len(r) - ql} * count(*) FILTER (WHERE {d} >= {v}) AS gain FROM lineitem")
+    return " UNION ALL ".join(out)
+
+
+@query(_gain_sql())
+def split_gain_table(spark, sf_dir):
+    one = T.load(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), *(F.count_if(F.col(d) < v).alias(f"c{i}") for i, (d, v) in enumerate(_CUTS))).first()
+    whole = {d: (-1e18, 1e18) for d in BOXES[0]}
+    rows = [(i, d, v, one[f"c{i}"], trees.gain(BOXES, whole, d, v, one.n, one[f"c{i}"])) for i, (d, v) in enumerate(_CUTS)]
+    return spark.createDataFrame(rows, "ord long, dim string, v double, n_left long, gain long")
+
+
+@query(f"SELECT CAST(ord AS BIGINT) AS ord, dim, v FROM {_values([(i, d, v) for i, (d, v) in enumerate(_CUTS)], 'ord, dim, v')}")
+def candidate_cuts(spark, sf_dir):
+    return spark.createDataFrame([(i, d, v) for i, (d, v) in enumerate(_CUTS)], "ord long, dim string, v double")
+
+
+@query(f"""WITH g AS ({_gain_sql()}), w AS (SELECT dim, v FROM g, (SELECT count(*) AS n FROM lineitem) t WHERE n_left >= floor(n / {BLOCKS}) AND n - n_left >= floor(n / {BLOCKS}) AND gain >= 0 ORDER BY gain DESC, ord LIMIT 1)
+    SELECT CAST(CASE WHEN CASE w.dim WHEN 'l_orderkey' THEN l_orderkey ELSE l_quantity END < w.v THEN 2 ELSE 3 END AS BIGINT) AS leaf, count(*) AS n FROM lineitem CROSS JOIN w GROUP BY 1""")
+def qdtree_level1(spark, sf_dir):
+    df, b = _frame(spark, sf_dir, "lineitem")
+    tree = trees.query_tree(df, ["l_orderkey", "l_quantity"], BOXES, b, max_levels=1)
+    return df.select(tree.leaf().alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
+
+
+@query()
+def qdtree_leaves(spark, sf_dir):
+    df, b = _frame(spark, sf_dir, "lineitem")
+    return trees.query_tree(df, ["l_orderkey", "l_quantity"], BOXES, b).leaf_table(spark, ["l_orderkey", "l_quantity"])
+
+
+@query()
+def pactree_leaves(spark, sf_dir):
+    df, b = _frame(spark, sf_dir, "lineitem")
+    return trees.pac_tree(df, "l_orderkey", ["l_orderkey", "l_quantity"], BOXES, b, 2).leaf_table(spark, ["l_orderkey", "l_quantity"])
+
+
+@query()
+def nora_leaves(spark, sf_dir):
+    df, b = _frame(spark, sf_dir, "lineitem")
+    tree, inner = trees.nora_tree(df, ["l_orderkey", "l_quantity"], BOXES, b)
+    rows = [(n.nid, n.size, n.irregular, inner[n.nid][1] if n.nid in inner else None) for n in tree.leaves]
+    return spark.createDataFrame(rows, "leaf long, n long, irregular boolean, inner_rows long")
+
+
+@query()
+def tree_table(spark, sf_dir):
+    return _median(spark, sf_dir, "orders", "o_custkey", LEVELS).table(spark)
+
+
+_PANDO = {d: trees.pando_cuts(BOXES, d, -1e18, 1e18, 3) for d in ("l_orderkey", "l_quantity")}
+
+
+def _pando_sql() -> str:
+    leaf = lambda d: " + ".join(f"CASE WHEN {d} >= {v} THEN 1 ELSE 0 END" for v in _PANDO[d]) or "0"
+    return f"(SELECT CAST({leaf('l_orderkey')} AS BIGINT) AS leaf_l_orderkey, CAST({leaf('l_quantity')} AS BIGINT) AS leaf_l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"SELECT * FROM {_pando_sql()} x")
+def pando_blocks(spark, sf_dir):
+    return trees.pando_blocks(T.load(spark, sf_dir, "lineitem"), _PANDO)
+
+
+def _pando_hits(box, d):
+    """Leaves of one dimension that a closed range touches."""
+    edges = [-float("inf"), *_PANDO[d], float("inf")]
+    return [i for i in range(len(edges) - 1) if box[d][0] <= edges[i + 1] and box[d][1] >= edges[i]]
+
+
+def _pando_cost(spark, sf_dir, both: bool):
+    blocks = pando_blocks(spark, sf_dir)
+    hit = [[F.col(f"leaf_{d}").isin(_pando_hits(b, d)) for d in _PANDO] for b in BOXES]
+    one = blocks.agg(*(F.coalesce(F.sum(F.when(h[0] & h[1] if both else h[0] | h[1], F.col("n"))), F.lit(0)).alias(f"n{i}") for i, h in enumerate(hit)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("box_id"), F.col(f"n{i}").alias("n")) for i in range(len(BOXES))))).alias("r")).select("r.*")
+
+
+def _pando_cost_sql(word: str) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS box_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM {_pando_sql()} x WHERE " + f" {word} ".join(f"leaf_{d} IN ({', '.join(map(str, _pando_hits(b, d)))})" for d in _PANDO) for i, b in enumerate(BOXES))
+
+
+@query(_pando_cost_sql("AND"))
+def pando_and_cost(spark, sf_dir):
+    return _pando_cost(spark, sf_dir, True)
+
+
+@query(_pando_cost_sql("OR"))
+def pando_or_cost(spark, sf_dir):
+    return _pando_cost(spark, sf_dir, False)
+
+
+# Pruning and cost
+
+_ASKS = [(i, *b["l_orderkey"]) for i, b in enumerate(BOXES)]
+_ASK_SQL = f"(SELECT * FROM {_values(_ASKS, 'query_id, q_lo, q_hi')})"
+
+
+def _asks(spark):
+    return spark.createDataFrame(_ASKS, "query_id long, q_lo double, q_hi double")
+
+
+_TOUCH_SQL = f"(SELECT q.query_id, l.leaf, l.n FROM {_leaf_sql('lineitem', 'l_orderkey', 4)} l JOIN {_ASK_SQL} q ON q.q_lo <= l.hi AND l.lo <= q.q_hi)"
+
+
+@query(f"SELECT query_id, leaf, n FROM {_TOUCH_SQL} x")
+def blocks_touched(spark, sf_dir):
+    return prune.touched(_leaves(spark, sf_dir, "lineitem", "l_orderkey", 4), _asks(spark))
+
+
+@query(f"SELECT query_id, CAST(sum(n) AS BIGINT) AS cost, count(*) AS blocks FROM {_TOUCH_SQL} x GROUP BY query_id")
+def scan_cost_per_query(spark, sf_dir):
+    return prune.scan_cost(blocks_touched(spark, sf_dir))
+
+
+@query(f"SELECT round(sum(n) / (SELECT count(*) FROM lineitem) / {len(_ASKS)}.0, 9) AS ratio FROM {_TOUCH_SQL} x")
+def scan_ratio_avg(spark, sf_dir):
+    n = profile.row_count(T.load(spark, sf_dir, "lineitem"), "lineitem")
+    return prune.scan_ratio(blocks_touched(spark, sf_dir), n, len(_ASKS))
+
+
+@query(f"SELECT DISTINCT q.query_id, CAST(CASE WHEN l.leaf >= 8 THEN floor(l.leaf / 2) ELSE l.leaf END AS BIGINT) AS node FROM {_leaf_sql('lineitem', 'l_orderkey', 3)} l JOIN {_ASK_SQL} q ON q.q_lo <= l.hi AND l.lo <= q.q_hi")
+def toplayer_blocks(spark, sf_dir):
+    t = _median(spark, sf_dir, "lineitem", "l_orderkey", 3)
+    layer = spark.createDataFrame([(n.nid, n.size, *n.box["l_orderkey"]) for n in t.layer(2)], "leaf long, n long, lo double, hi double")
+    return prune.touched(layer, _asks(spark)).select("query_id", F.col("leaf").alias("node"))
+
+
+def _overlap(spark, sf_dir):
+    return joins.overlap_graph(*(_leaves(spark, sf_dir, *TREES[k]) for k in "ab"))
+
+
+_OVERLAP_SQL = f"(SELECT a.leaf AS a_leaf, a.n AS a_n, b.leaf AS b_leaf, b.n AS b_n FROM {_leaf_sql(*TREES['a'])} a JOIN {_leaf_sql(*TREES['b'])} b ON a.lo <= b.hi AND b.lo <= a.hi)"
+
+
+@query(f"SELECT * FROM {_OVERLAP_SQL} x")
+def overlap_chunks(spark, sf_dir):
+    return _overlap(spark, sf_dir)
+
+
+@query(f"SELECT x.a_leaf AS a1, y.a_leaf AS a2, count(*) AS shared FROM {_OVERLAP_SQL} x JOIN {_OVERLAP_SQL} y ON x.b_leaf = y.b_leaf AND x.a_leaf < y.a_leaf GROUP BY x.a_leaf, y.a_leaf")
+def pairwise_affinity(spark, sf_dir):
+    return joins.affinity(_overlap(spark, sf_dir))
+
+
+@query(f"""WITH o AS {_OVERLAP_SQL}, g AS (SELECT *, floor((a_leaf - (SELECT min(a_leaf) FROM o)) / 3) AS grp FROM o),
+    a AS (SELECT sum(a_n) AS a_rows FROM (SELECT DISTINCT grp, a_leaf, a_n FROM g) x), b AS (SELECT sum(b_n) AS b_rows FROM (SELECT DISTINCT grp, b_leaf, b_n FROM g) x)
+    SELECT CAST(a_rows AS BIGINT) AS a_rows, CAST(b_rows AS BIGINT) AS b_rows, CAST(a_rows + b_rows AS BIGINT) AS cost FROM a, b""")
+def hyper_cost(spark, sf_dir):
+    o = _overlap(spark, sf_dir)
+    leaves = sorted(r.a_leaf for r in o.select("a_leaf").distinct().collect())
+    groups = spark.createDataFrame([(a, (a - leaves[0]) // 3) for a in leaves], "a_leaf long, grp long")
+    return joins.hyper_cost(o, groups)
+
+
+@query(f"WITH o AS {_OVERLAP_SQL}, a AS (SELECT sum(a_n) AS a_rows FROM (SELECT DISTINCT a_leaf, a_n FROM o) x), b AS (SELECT sum(b_n) AS b_rows FROM (SELECT DISTINCT b_leaf, b_n FROM o) x) SELECT CAST(a_rows AS BIGINT) AS a_rows, CAST(b_rows AS BIGINT) AS b_rows, CAST(3 * (a_rows + b_rows) AS BIGINT) AS cost FROM a, b")
+def shuffle_cost(spark, sf_dir):
+    return joins.shuffle_cost(_overlap(spark, sf_dir))
+
+
+def _grouping(spark, sf_dir, how):
+    meets: dict = {}
+    for r in _overlap(spark, sf_dir).collect():  # leaves, not rows
+        meets.setdefault(r.a_leaf, set()).add(r.b_leaf)
+    groups = how({k: frozenset(v) for k, v in meets.items()}, 3)
+    return spark.createDataFrame([(i, a) for i, g in enumerate(groups) for a in g], "grp long, a_leaf long")
+
+
+@query()
+def group_adaptdb(spark, sf_dir):
+    return _grouping(spark, sf_dir, joins.group_greedy)
+
+
+@query()
+def group_qdg(spark, sf_dir):
+    return _grouping(spark, sf_dir, joins.group_affinity)
+
+
+@query("SELECT n_nationkey, n_name, c_custkey, c_nationkey, c_acctbal FROM nation JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_nationkey, c_custkey, c_acctbal) AS r FROM customer) c ON n_nationkey = c_nationkey AND r = 1")
+def first_match_join(spark, sf_dir):
+    nation = T.load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customer = T.load(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    return joins.first_match(nation, customer, "n_nationkey", "c_nationkey")
+
+
+@query("SELECT CAST(3 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier) x) AS BIGINT) AS cost")
+def chain_shuffle_cost(spark, sf_dir):
+    nation, supplier = T.load(spark, sf_dir, "nation"), T.load(spark, sf_dir, "supplier")
+    held = supplier.select("s_nationkey").distinct().count()
+    return spark.createDataFrame([(joins.step_cost(nation.count(), held),)], "cost long")
+
+
+@query("SELECT round((SELECT count(*) FROM orders WHERE o_totalprice < 100000) * CAST(w AS DOUBLE) / (SELECT count(*) FROM orders) / CAST(t AS DOUBLE), 9) AS ratio FROM (SELECT max(length(CAST(o_orderkey AS VARCHAR))) + max(length(CAST(o_custkey AS VARCHAR))) AS w, max(length(CAST(o_orderkey AS VARCHAR))) + max(length(CAST(o_custkey AS VARCHAR))) + max(length(o_orderstatus)) + max(length(o_orderpriority)) AS t FROM orders) x")
+def bytes_ratio(spark, sf_dir):
+    df = T.load(spark, sf_dir, "orders")
+    width = lambda c: F.max(F.length(F.col(c).cast("string")))
+    read, every = width("o_orderkey") + width("o_custkey"), width("o_orderkey") + width("o_custkey") + width("o_orderstatus") + width("o_orderpriority")
+    return df.agg(F.round(F.count_if(F.col("o_totalprice") < 100000) * read.cast("double") / F.count("*") / every.cast("double"), 9).alias("ratio"))
+
+
+# Selection, order and report
+
+_CAND_SQL = f"(SELECT * FROM {_values([(t, c) for t, cs in T.CANDIDATES.items() for c in cs], 'table_name, col')})"
+_SIDES_SQL = f"(SELECT query_id, ord, 0 AS side, left_table AS table_name, left_col AS col, right_table AS partner FROM {_EDGE_SQL} a UNION ALL SELECT query_id, ord, 1, right_table, right_col, left_table FROM {_EDGE_SQL} b)"
+
+
+@query(f"SELECT f.table_name, f.col FROM (SELECT table_name, col, row_number() OVER (PARTITION BY table_name ORDER BY query_id, ord, side) AS r FROM {_SIDES_SQL} s) f JOIN {_CAND_SQL} c ON f.table_name = c.table_name AND f.col = c.col WHERE r = 1")
+def keys_ad_mto(spark, sf_dir):
+    return select.first_used(workload.edges(spark))
+
+
+@query("SELECT t.table_name, t.col FROM (SELECT '' AS table_name, '' AS col) t WHERE 1 = 0")
+def keys_paw(spark, sf_dir):
+    return spark.createDataFrame([], "table_name string, col string")
+
+
+@query(f"SELECT table_name, col, score, place FROM (SELECT s.table_name, s.col, CAST(sum(r.n_rows) AS BIGINT) AS score, row_number() OVER (PARTITION BY s.table_name ORDER BY sum(r.n_rows) DESC, s.col) AS place FROM {_SIDES_SQL} s JOIN ({ORACLE_SQL['profile_rowcounts']}) r ON s.partner = r.table_name JOIN {_CAND_SQL} c ON s.table_name = c.table_name AND s.col = c.col GROUP BY s.table_name, s.col) x WHERE place <= 2")
+def keys_topk(spark, sf_dir):
+    return select.ranked_keys(workload.edges(spark), profile_rowcounts(spark, sf_dir), 2)
+
+
+_LINKS = [("orders", "o_orderkey", "lineitem", "l_orderkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("nation", "n_nationkey", "customer", "c_nationkey")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, x.n + 3.0 * y.n AS csy, {'1.2 * (x.n + y.n)' if i == 0 else 'x.n + 3.0 * y.n'} AS chy FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM {a}) x, (SELECT CAST(count(*) AS DOUBLE) AS n FROM {b}) y" for i, (a, _, b, _) in enumerate(_LINKS)))
+def edge_weights(spark, sf_dir):
+    n = {r.table_name: float(r.n_rows) for r in profile_rowcounts(spark, sf_dir).collect()}
+    return spark.createDataFrame([(a, b, *order.edge_weight(n[a], n[b], i == 0)) for i, (a, _, b, _) in enumerate(_LINKS)], "a string, b string, csy double, chy double")
+
+
+@query()
+def mst_order(spark, sf_dir):
+    n = {r.table_name: r.n_rows for r in profile_rowcounts(spark, sf_dir).collect()}
+    blocks: dict = {}
+    for a, ca, b, cb in workload.WORKLOAD[3][1]:
+        blocks.setdefault(a, {})[ca] = n[a]
+        blocks.setdefault(b, {})[cb] = n[b]
+    _, path = order.spanning(blocks, workload.WORKLOAD[3][1], {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"]})
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(path)], "step long, seen string, new string, label long")
+
+
+@query()
+def syntactic_order(spark, sf_dir):
+    path = order.syntactic([(a, b) for a, _, b, _ in workload.WORKLOAD[3][1]])
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(path)], "step long, seen string, new string, label long")
+
+
+@query()
+def query_cost_report(spark, sf_dir):
+    return select.Evaluation(spark, sf_dir).compare()
+
+
+@query()
+def model_pivot(spark, sf_dir):
+    return select.pivot(query_cost_report(spark, sf_dir))

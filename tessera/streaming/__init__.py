@@ -1,0 +1 @@
+r"""The surveyed engine has no streams; tables are read in one piece. Nothing is needed here so far."""
