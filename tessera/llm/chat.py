@@ -2,8 +2,8 @@
 
 A transcript is a sequence of lines. The states are (role, first line of a turn or a later one). A line shows a
 speaker marker or none, whether a blank line precedes it, a length class and how it ends; these features are
-independent given the state. Start, transition and feature chances are counted, with one added, from at most
-SAMPLE labelled conversations (a parameter). Viterbi finds the likeliest states; every first-line state opens a turn.
+independent given the state. Start, transition and feature chances are counted, and smoothed, from at most SAMPLE
+labelled conversations (a parameter). Viterbi finds the likeliest states; every first-line state opens a turn.
 
 A conversation may hold a large share of all rows. It is cut into chunks of CHUNK sequence numbers; each chunk gives
 the best score from any state to any state, these small tables are chained per conversation, and each chunk is
@@ -56,9 +56,19 @@ def read(raw: str | None, blank: bool):
 
 
 class Model:
-    def __init__(self, start: np.ndarray, move: np.ndarray, show: list[np.ndarray]):
+    """Log chances. A state shows a value as often as it was seen to, mixed with how often any state shows it, so a
+    value that was never seen speaks for no state; a role's own marker counts as seen once."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, show: list[np.ndarray], mix: float = 0.05):
         norm = lambda x: np.log((x + 1) / (x + 1).sum(axis=-1, keepdims=True))
-        self.start, self.move, self.show = norm(start), norm(move), [norm(s) for s in show]
+        self.start, self.move, self.show = norm(start), norm(move), []
+        for i, seen in enumerate(show):
+            seen = seen.astype(np.float64)
+            if i == 0:
+                seen[2 * np.arange(len(ROLES)), np.arange(len(ROLES)) + 1] += 1
+            every = (seen.sum(axis=0) + 1) / (seen.sum() + seen.shape[1])
+            own = seen / np.maximum(seen.sum(axis=1, keepdims=True), 1)
+            self.show.append(np.log((1 - mix) * own + mix * every))
 
     def scores(self, lines: list[tuple[int, ...]]) -> np.ndarray:
         f = np.array(lines, np.int64).reshape(-1, len(SIZES))

@@ -10,7 +10,7 @@ Block bytes, little-endian: header (see _HEADER), doc_ids int64[n_docs], lengths
 (place uint64, states uint64[lanes]) * n_checkpoints, stream uint32[n_words].
 
 A table of blocks is a Parquet folder with the rows (shard, block, start_in_shard, n_docs, n_tokens, payload); the
-frequency table lies beside it. A null text is an empty one and holds the end id alone; repeated doc_ids
+frequency table lies beside it. A null text is an empty one and holds the end id alone; null doc_ids come first; repeated doc_ids
 stay separate rows; an empty table gives no blocks.
 """
 
@@ -36,6 +36,7 @@ CHECKPOINT_STEPS = 128
 _LOW = np.uint64(1 << 31)
 _HEADER = struct.Struct("<4sHHIIQIIIII")  # magic, version, scale, lanes, n_docs, n_tokens, steps, n_checkpoints, n_words, table crc, ids crc
 _MAGIC = b"TRNS"
+_NULL = -(2**63)  # stands for a null doc_id
 BLOCKS = "shard int, block int, start_in_shard long, n_docs int, n_tokens long, payload binary"
 
 
@@ -214,7 +215,7 @@ def write(docs: DataFrame, path: str, end_id: int, place: str) -> None:
         if docs_:
             yield flush()
 
-    ordered = tokens.filter("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL))).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{place}/blocks")
 
 
@@ -252,7 +253,7 @@ def read_documents(spark: SparkSession, place: str, digest: bool = False) -> Dat
 
     kind = "long" if digest else "array<int>"
     rows = blocks.select("shard", "start_in_shard", "payload").mapInArrow(run, f"shard int, doc_id long, own long, n_tokens long, last {kind}")
-    return rows.join(_starts(blocks), "shard").select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", F.col("last").alias("ids_crc32" if digest else "ids"))
+    return rows.join(_starts(blocks), "shard").select(F.nullif("doc_id", F.lit(_NULL)).alias("doc_id"), (F.col("base") + F.col("own")).alias("start"), "n_tokens", F.col("last").alias("ids_crc32" if digest else "ids"))
 
 
 def write_and_read(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
