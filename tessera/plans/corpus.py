@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {
-    "tpch_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '68' DAY GROUP BY l_returnflag, l_linestatus ORDER BY 1, 2",
+    "tpch_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '68' DAY GROUP BY l_returnflag, l_linestatus ORDER BY 1, 2",
     "tpch_q2": "SELECT s_name, p_partkey, round(l_extendedprice, 2) AS price FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size < 20 AND p_type LIKE '%O' AND r_name = 'EUROPE' AND l_extendedprice = (SELECT min(l2.l_extendedprice) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)",
-    "tpch_q3": "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(o_orderdate AS DATE) AS odate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'FURNITURE' AND o_orderdate < DATE '1997-03-17' AND l_shipdate > DATE '1997-03-17' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10",
+    "tpch_q3": "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, CAST(o_orderdate AS DATE) AS odate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'FURNITURE' AND o_orderdate < DATE '1997-03-17' AND l_shipdate > DATE '1997-03-17' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "tpch_q4": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1996-05-01' AND o_orderdate < DATE '1996-05-01' + INTERVAL '3' MONTH AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL '30' DAY) GROUP BY o_orderpriority ORDER BY 1",
-    "tpch_q5": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name",
-    "tpch_q6": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-01-01' + INTERVAL '1' YEAR AND l_discount BETWEEN 0.06 AND 0.08 AND l_quantity < 25",
-    "tpch_q7": "SELECT supp, cust, CAST(yr AS BIGINT) AS yr, round(sum(volume), 2) AS revenue FROM (SELECT n1.n_name AS supp, n2.n_name AS cust, extract(year FROM l_shipdate) AS yr, l_extendedprice * (1 - l_discount) AS volume FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1')) AND l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') s GROUP BY supp, cust, yr",
+    "tpch_q5": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name",
+    "tpch_q6": "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-01-01' + INTERVAL '1' YEAR AND l_discount BETWEEN 0.06 AND 0.08 AND l_quantity < 25",
+    "tpch_q7": "SELECT supp, cust, CAST(yr AS BIGINT) AS yr, round(sum(volume), 4) AS revenue FROM (SELECT n1.n_name AS supp, n2.n_name AS cust, extract(year FROM l_shipdate) AS yr, l_extendedprice * (1 - l_discount) AS volume FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1')) AND l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') s GROUP BY supp, cust, yr",
     "tpch_q8": "SELECT CAST(yr AS BIGINT) AS yr, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) / sum(volume), 6) AS share FROM (SELECT extract(year FROM o_orderdate) AS yr, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey AND p_type = 'PROMO') x GROUP BY yr",
-    "tpch_q9": "SELECT n_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS yr, round(sum(l_extendedprice * (1 - l_discount)), 2) AS profit FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%blue%' GROUP BY n_name, extract(year FROM o_orderdate)",
-    "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20",
+    "tpch_q9": "SELECT n_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS yr, round(sum(l_extendedprice * (1 - l_discount)), 4) AS profit FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%blue%' GROUP BY n_name, extract(year FROM o_orderdate)",
+    "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20",
     "tpch_q11": "SELECT l_partkey, round(sum(l_extendedprice), 2) AS val FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 8 GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT sum(l_extendedprice) * 0.001 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 8)",
     "tpch_q12": "SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag IN ('A', 'R') AND l_shipdate > o_orderdate AND l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' GROUP BY l_returnflag",
     "tpch_q13": "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '1%' GROUP BY c_custkey) AS c_orders (c_custkey, c_count) GROUP BY c_count ORDER BY custdist DESC, c_count DESC",
@@ -20,7 +20,7 @@ SQL: dict[str, str] = {
     "tpch_q15": "SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#5' AND p_type NOT LIKE 'MED%' AND p_size IN (4, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size",
     "tpch_q16": "SELECT round(sum(l_extendedprice) / 7.0, 4) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity < (SELECT 0.6 * avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)",
     "tpch_q17": "SELECT c_name, c_custkey, o_orderkey, round(o_totalprice, 2) AS price, round(sum(l_quantity), 2) AS qty FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 220) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_name, c_custkey, o_orderkey, o_totalprice ORDER BY price DESC, o_orderkey LIMIT 100",
-    "tpch_q18": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE (p_partkey = l_partkey AND p_brand = 'Brand#1' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 15) OR (p_partkey = l_partkey AND p_brand = 'Brand#2' AND l_quantity BETWEEN 10 AND 30 AND p_size BETWEEN 1 AND 30) OR (p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 40)",
+    "tpch_q18": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem, part WHERE (p_partkey = l_partkey AND p_brand = 'Brand#1' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 15) OR (p_partkey = l_partkey AND p_brand = 'Brand#2' AND l_quantity BETWEEN 10 AND 30 AND p_size BETWEEN 1 AND 30) OR (p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 40)",
     "tpch_q19": "SELECT s_name FROM supplier, nation WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem l0 WHERE l0.l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'b%') AND l0.l_quantity > (SELECT 0.5 * avg(l_quantity) FROM lineitem l1 WHERE l1.l_partkey = l0.l_partkey AND l1.l_suppkey = l0.l_suppkey)) AND s_nationkey = n_nationkey AND n_name = 'NATION_7'",
     "tpch_q20": "SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate + INTERVAL '60' DAY AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > o_orderdate + INTERVAL '60' DAY) AND s_nationkey = n_nationkey GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100",
     "tpch_q21": "SELECT code, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM (SELECT substring(c_name FROM 10 FOR 2) AS code, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')) x GROUP BY code",
@@ -46,7 +46,7 @@ SQL: dict[str, str] = {
     "agg_global": "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(o_orderkey) AS n, round(avg(o_totalprice), 4) AS m FROM orders",
     "win_rank": "SELECT c_custkey, c_nationkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS BIGINT) AS rk FROM customer",
     "win_partition_ratio": "SELECT p_brand, p_type, round(sum(p_retailprice), 2) AS rev, round(sum(p_retailprice) * 100 / sum(sum(p_retailprice)) OVER (PARTITION BY p_brand), 6) AS ratio FROM part GROUP BY p_brand, p_type",
-    "win_avg_deviation": "SELECT * FROM (SELECT p_brand, p_type, round(sum(p_retailprice), 2) AS s, round(avg(sum(p_retailprice)) OVER (PARTITION BY p_brand), 2) AS a FROM part GROUP BY p_brand, p_type) x WHERE abs(s - a) / a > 0.1",
+    "win_avg_deviation": "SELECT * FROM (SELECT p_brand, p_type, round(sum(p_retailprice), 2) AS s, round(avg(sum(p_retailprice)) OVER (PARTITION BY p_brand), 6) AS a FROM part GROUP BY p_brand, p_type) x WHERE abs(s - a) / a > 0.1",
     "win_cumulative": "SELECT odate, round(sum(s) OVER (ORDER BY odate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, max(n) OVER (ORDER BY odate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS most FROM (SELECT CAST(o_orderdate AS DATE) AS odate, sum(o_totalprice) AS s, count(*) AS n FROM orders WHERE o_orderdate < DATE '1995-07-01' GROUP BY CAST(o_orderdate AS DATE)) x",
     "win_topn": "SELECT * FROM (SELECT l_suppkey, l_partkey, round(sum(l_extendedprice), 2) AS s, CAST(rank() OVER (PARTITION BY l_suppkey ORDER BY sum(l_extendedprice) DESC, l_partkey) AS BIGINT) AS rk FROM lineitem GROUP BY l_suppkey, l_partkey) x WHERE rk <= 3",
     "win_both_ends": "SELECT a.rk, a.p_partkey AS best, b.p_partkey AS worst FROM (SELECT p_partkey, CAST(rank() OVER (ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS rk FROM part) a JOIN (SELECT p_partkey, CAST(rank() OVER (ORDER BY p_retailprice, p_partkey) AS BIGINT) AS rk FROM part) b ON a.rk = b.rk WHERE a.rk <= 10",
