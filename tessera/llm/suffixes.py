@@ -3,8 +3,9 @@
 A byte goes if a WIDTH-byte string over it also starts earlier (smaller doc_id, or earlier in the same document).
 All suffixes of a large corpus can't be sorted in the room there is, so those that can't matter are ruled out first:
 
-1. In each WIDTH-byte window the GRAM-byte string of least hash is the window's anchor (leftmost of equals). It follows
-   from the window's bytes alone, so equal windows have equal anchors at equal places. Windows with one anchor are
+1. In each WIDTH-byte window the GRAM-byte string of least hash is the window's anchor (leftmost of equals). Grams
+   that stand in very many different surroundings are passed over where the window has another. So the anchor follows
+   from the window's bytes alone, and equal windows have equal anchors at equal places. Windows with one anchor are
    neighbours; their bytes together are the anchor's context. Hashes of anchors and contexts come from prefix
    polynomial hashes. Contexts that a slice repeats are settled there, so a passage in any number of documents
    reaches the next step once for each slice.
@@ -15,6 +16,10 @@ All suffixes of a large corpus can't be sorted in the room there is, so those th
    logarithmic number of steps. Suffixes equal over WIDTH bytes lie side by side, earliest first; all but the first
    go. Their bytes are compared in full; if hashes ever collide, the sort starts anew with another base.
 
+The list of grams to pass over is drawn from a sample, holds STOPS entries at most and is the same for all tasks. It
+spreads a phrase found everywhere over the anchors around it, so no task sorts all of its contexts; windows without
+any other gram lie within the phrase, where their contexts are equal. Any list, an empty one too, gives equal results.
+
 A null text counts as empty. Texts shorter than WIDTH keep all bytes. A document is its doc_id and text: rows that
 repeat both get one and the same result and aren't held against each other; of rows that repeat only the doc_id the
 order is that of a hash of the text. A null doc_id comes before all others. An empty table gives no rows.
@@ -37,6 +42,11 @@ WIDTH = 100
 GRAM = 32
 #: Window starts of a document that are handled at once; the place in a piece takes 22 bits beside a hash.
 PIECE = 1 << 20
+#: A gram with more surroundings than STOP, as estimated from a SHARE of the rows, is an anchor only for want of others.
+STOP = 8192
+SHARE = 1 / 64
+#: Grams listed as such at most, the most frequent first: 8 bytes each.
+STOPS = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
 _SPAN = "doc_id long, mark long, lo long, hi long"
 
@@ -69,7 +79,23 @@ class Prefixes:
         return (self.sums[at + size] - self.sums[at]) * self.down[at]
 
 
-def anchors(data: np.ndarray, width: int = WIDTH):
+class Stops:
+    """Which grams, given by their hashes, are on a list."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.unique(grams)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.grams >> np.uint64(44)] = True
+
+    def find(self, g: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[(g >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+        return at[self.grams[place] == g[at]]
+
+
+def anchors(data: np.ndarray, width: int = WIDTH, stops: Stops | None = None):
     """For each anchor of a text: its hash, its context's hash, first window start, anchor's distance from it, windows - 1."""
     n = len(data) - width + 1
     out = []
@@ -80,7 +106,9 @@ def anchors(data: np.ndarray, width: int = WIDTH):
         grams = np.arange(len(part) - GRAM + 1)
         g = _mix(hashes.of(grams, GRAM))
         low = np.uint64(22)
-        m, s = (g >> low << low) | grams.astype(np.uint64), 1
+        m, s = (g >> low + np.uint64(1) << low) | grams.astype(np.uint64), 1
+        if stops is not None:
+            m[stops.find(g)] |= np.uint64(1 << 63)
         while 2 * s <= reach:
             m = np.minimum(m[:-s], m[s:])
             s *= 2
@@ -105,18 +133,52 @@ def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _scan(width: int, buckets: int):
+def _surroundings(width: int):
+    """text -> (gram, n): grams that stand in n > 1 different surroundings (all windows over them) of a run of texts."""
+
+    def count(held):
+        order, new = _firsts(*(np.concatenate(x) for x in zip(*held)))
+        gram, n = np.unique(np.concatenate([g for g, _ in held])[order[new]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["gram", "n"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for text in batch.column("text"):
+                data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                for c in range(0, len(data) - width + 1, PIECE):
+                    part = data[c : c + PIECE]
+                    h, at = Prefixes(part), np.arange(len(part) - GRAM + 1)
+                    lo = np.maximum(at - (width - GRAM), 0)
+                    held.append((_mix(h.of(at, GRAM)), h.of(lo, np.minimum(at + width, len(part)) - lo)))
+                    if sum(len(g) for g, _ in held) > PIECE:
+                        yield count(held)
+                        held = []
+        if held:
+            yield count(held)
+
+    return run
+
+
+def frequent(short: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """The grams to pass over, from a sample: at most STOPS."""
+    counts = short.select("text").sample(SHARE, seed=6).mapInArrow(_surroundings(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= max(2, STOP * SHARE)).orderBy(F.desc("n"), "gram").limit(STOPS).select("gram").collect()
+    return np.array([r.gram for r in rows], np.int64).view(np.uint64)
+
+
+def _scan(width: int, buckets: int, listed: np.ndarray):
     """documents (doc_id, mark, text) -> (bucket, blob) with the anchors of each slice, and settled spans."""
 
     def run(batches):
-        turn = 0
+        turn, stops = 0, Stops(listed)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 ids, marks = part.column("doc_id").to_numpy(), part.column("mark").to_numpy()
                 rows = []
                 for i in np.lexsort((marks, ids)).tolist():
                     text = part.column("text")[i].as_buffer()
-                    if text is not None and (found := anchors(np.frombuffer(text, np.uint8), width)):
+                    if text is not None and (found := anchors(np.frombuffer(text, np.uint8), width, stops)):
                         rows.append((np.full(len(found[0]), i, np.int32), *found))
                 if not rows:
                     continue
@@ -330,7 +392,7 @@ def spans_to_remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     short = _marked(docs).select(F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     blobs = "bucket int, settled boolean, blob binary"
-    met = stored(short.mapInArrow(_scan(width, buckets), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(width), _MEET), "anchors")
+    met = stored(short.mapInArrow(_scan(width, buckets, frequent(short, width)), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(width), _MEET), "anchors")
     wanted = met.filter("gram is not null").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "gram", "off", "more")).alias("wanted"))
     # Rows that repeat a document would bring its contexts twice.
     texts = packed(short).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])

@@ -198,6 +198,21 @@ def test_suffixes(docs, none, spark, sf):
     assert suffixes.report(none).count() == suffixes.clean(none).count() == 0
 
 
+def test_suffixes_with_frequent_phrases(spark, sf, monkeypatch):
+    monkeypatch.setattr(suffixes, "STOP", 3)
+    monkeypatch.setattr(suffixes, "SHARE", 1.0)
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrase, long = noise(60), noise(240)
+    rows = [(i, noise(80) + (phrase if i % 3 else long) + noise(80) + (phrase + COPY if i % 7 == 0 else "")) for i in range(60)]
+    rows += [(100 + i, rows[i][1][30:220] + noise(9)) for i in range(20)] + [(200, phrase * 9), (201, long[:150]), (202, None)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(suffixes.frequent(suffixes._marked(df).select("text").selectExpr("cast(text as binary) as text"))) > 30
+    want = brute_spans(rows, suffixes.WIDTH)
+    assert {r.doc_id: tuple(r[1:]) for r in suffixes.report(df).collect()} == want
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
