@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, tidy
+from tessera.llm.common import lean, stored, tidy
 
 #: Documents of each language that a fit takes at most.
 SAMPLE = 2000
@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, size: int = RANKS) -> Profile
                 counts = np.bincount(at, np.concatenate([f[1] for f in found]), minlength=len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
 
-    counts = chosen.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = chosen.select("text", "lang").mapInArrow(lean(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("r") <= size)
     table: dict[str, list] = {}
     for row in top.orderBy("lang", "r").collect():  # at most `size` rows of each language
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             lang, score = zip(*(judge(t.as_py()) for t in batch.column("text"))) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return tidy(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return tidy(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out: int = 2) -> DataFrame:
@@ -173,4 +173,4 @@ def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
             keep = [(j := judge(t.as_py()))[0] != "und" and j[1] > least for t in batch.column(text)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.toDF(*names).mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+    return docs.toDF(*names).mapInArrow(lean(run), docs.toDF(*names).schema).toDF(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_slices, tidy
+from tessera.llm.common import lean, stored, text_slices, tidy
 from tessera.llm.tokens import encoder
 
 _RANK = 40  # bits of a rank below the length in a place's key
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: boo
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<int>" * keep_ids
-    return tidy(docs, "doc_id", "text").mapInArrow(run, kinds)
+    return tidy(docs, "doc_id", "text").mapInArrow(lean(run), kinds)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:

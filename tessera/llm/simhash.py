@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, tidy
+from tessera.llm.common import lean, stored, tidy
 from tessera.llm.graph import components, merge_labels
 
 WORD = 64
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 5, bits: int = WORD, seed: int =
             fps = np.array([fingerprint(t.as_py(), words, bits, seed) for t in texts], np.uint64).reshape(-1, bits // WORD).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(fps[:, w].copy()) for w in range(bits // WORD))], ["doc_id", *names(bits)])
 
-    return tidy(docs, "doc_id", "text").mapInArrow(run, "doc_id long" + "".join(f", {f} long" for f in names(bits)))
+    return tidy(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long" + "".join(f", {f} long" for f in names(bits)))
 
 
 def cuts(bits: int, segments: int, max_bits: int) -> list[tuple[int, int, int, bool]]:
@@ -197,7 +197,7 @@ def links(fps: DataFrame, bits: int, segments: int, max_bits: int) -> DataFrame:
             yield flush()
 
     rows = index(fps, parts, words).repartition("kind", "key").sortWithinPartitions("kind", "key")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int = WORD, segments: int | None = None) -> DataFrame:

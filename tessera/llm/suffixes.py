@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spans, stored, text_slices
+from tessera.llm.common import lean, spans, stored, text_slices
 
 WIDTH = 100
 GRAM = 32
@@ -69,7 +69,8 @@ class Prefixes:
             up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
             have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            self._powers[base] = have
+            if size <= 2 * PIECE:
+                self._powers[base] = have
         up, self.down = have
         self.sums = np.zeros(n, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=self.sums[1:])
@@ -162,7 +163,7 @@ def _surroundings(width: int):
 
 def frequent(short: DataFrame, width: int = WIDTH) -> np.ndarray:
     """The grams to pass over, from a sample: at most STOPS."""
-    counts = short.select("text").sample(SHARE, seed=6).mapInArrow(_surroundings(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = short.select("text").sample(SHARE, seed=6).mapInArrow(lean(_surroundings(width)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= max(2, STOP * SHARE)).orderBy(F.desc("n"), "gram").limit(STOPS).select("gram").collect()
     return np.array([r.gram for r in rows], np.int64).view(np.uint64)
 
@@ -392,11 +393,11 @@ def spans_to_remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     short = _marked(docs).select(F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     blobs = "bucket int, settled boolean, blob binary"
-    met = stored(short.mapInArrow(_scan(width, buckets, frequent(short, width)), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(width), _MEET), "anchors")
+    met = stored(short.mapInArrow(lean(_scan(width, buckets, frequent(short, width))), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_meet(width)), _MEET), "anchors")
     wanted = met.filter("gram is not null").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "gram", "off", "more")).alias("wanted"))
     # Rows that repeat a document would bring its contexts twice.
     texts = packed(short).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    late = texts.mapInArrow(_fetch(width, buckets), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort(width), _SPAN)
+    late = texts.mapInArrow(lean(_fetch(width, buckets)), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sort(width)), _SPAN)
     every = met.filter("gram is null").select("doc_id", "mark", "lo", "hi").unionByName(late)
     return every.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
@@ -409,7 +410,7 @@ def packed(short: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([squeeze(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["doc_id", "mark", "packed"])
 
-    return short.mapInArrow(run, "doc_id long, mark long, packed binary")
+    return short.mapInArrow(lean(run), "doc_id long, mark long, packed binary")
 
 
 def _merged(found: pa.StructArray | None) -> list[tuple[int, int]]:
@@ -446,8 +447,8 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             n, gone, count, sha = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = sizes.mapInArrow(squeeze_rows, "own long, doc_id long, mark long, packed binary")
-    return rows.join(spans_to_remove(docs, width), ["doc_id", "mark"], "left").select("own", "packed", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = sizes.mapInArrow(lean(squeeze_rows), "own long, doc_id long, mark long, packed binary")
+    return rows.join(spans_to_remove(docs, width), ["doc_id", "mark"], "left").select("own", "packed", "spans").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -477,5 +478,5 @@ def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = _marked(docs).select(*(docs[c].alias(f"__c{i}") for i, c in enumerate(others)), docs["text"].alias("__text"), F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"))
     joined = rows.join(spans_to_remove(docs, width).withColumnRenamed("spans", "__spans"), ["doc_id", "mark"], "left").drop("doc_id", "mark")
     kinds = joined.drop("__spans").select(*(f"__c{i}" for i in range(n_cols)), "__text").schema
-    out = joined.mapInArrow(run, kinds)
+    out = joined.mapInArrow(lean(run), kinds)
     return out.select(*((F.col("__text") if c == "text" else F.col(f"__c{others.index(c)}")).alias(c) for c in docs.columns))

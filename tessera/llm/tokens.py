@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import spans, text_slices, tidy
+from tessera.llm.common import lean, spans, text_slices, tidy
 
 #: Entries that a worker's cache of encoded pieces holds before it starts anew.
 CACHE_PIECES = 600_000
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, path: str, backtrack: bool = True) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids.astype(np.int32)))
         return pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return tidy(docs, "doc_id", "text").mapInArrow(encode_batches(path, make, backtrack), "doc_id long, ids array<int>")
+    return tidy(docs, "doc_id", "text").mapInArrow(lean(encode_batches(path, make, backtrack)), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -305,7 +305,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             texts = [dec(np.array(ids if ids is not None else [], np.int64)).decode() for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tidy(coded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tidy(coded, "doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -318,4 +318,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(borders)), pa.array([sha(ids32[a:b]) for a, b in rows], pa.string()), pa.array([sha(dec(ids[a:b])) for a, b in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return tidy(docs, "doc_id", "text").mapInArrow(encode_batches(path, make, backtrack=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tidy(docs, "doc_id", "text").mapInArrow(lean(encode_batches(path, make, backtrack=True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
