@@ -5,10 +5,10 @@ document's most frequent n-grams are ranked likewise, and the sum of the distanc
 that the profile lacks counting as the profile's size, tells how far the document is from a language. The nearest
 language wins, ties going to the name that sorts first.
 
-Profiles are fitted on at most SAMPLE documents of each language, those of least hash (the bound is a parameter);
-every document is judged by its whole text. Characters that aren't letters end words. Texts that are null or hold no
-letter give `und` with score 0. Rows whose lang is null teach nothing. If no row can teach, all are `und`. An empty
-table gives an empty result.
+Profiles are fitted on at most SAMPLE documents of each language (the bound is a parameter): those of least hash in
+each of CLASSES classes by hash, an equal number from each. Every document is judged by its whole text. Characters
+that aren't letters end words. Texts that are null or hold no letter give `und` with score 0. Rows whose lang is null
+teach nothing. If no row can teach, all are `und`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tessera.llm.common import lean, stored, tidy
 
 #: Documents of each language that a fit takes at most.
 SAMPLE = 2000
+#: Classes of doc_ids by hash; each gives an equal part of a language's sample.
+CLASSES = 50
 #: n-grams that a profile and a document's ranking hold.
 RANKS = 400
 _CODE = 21  # bits of a character
@@ -116,12 +118,13 @@ def fold(doc_id):
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, size: int = RANKS) -> Profiles:
     """Profiles from text and lang, of at most `sample` documents of each language."""
-    rows = labelled.filter("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    # Each salt keeps its own least hashes before they meet, so no task holds a whole language.
-    salted = rows.withColumn("salt", F.pmod("h", F.lit(64)))
-    first = salted.select("lang", "salt", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).filter(F.col("r") <= sample)
-    bound = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("most"))
-    chosen = rows.join(F.broadcast(bound), "lang").filter(F.col("h") <= F.col("most"))
+    # Hash classes share the bound between them, so no task sees more than a class of a language and none a language.
+    classes = max(1, min(CLASSES, sample))
+    h = F.xxhash64("doc_id")
+    rows = labelled.filter("lang is not null and text is not null").select("text", "lang", h.alias("h"), F.pmod(h, F.lit(classes)).cast("int").alias("class"))
+    least = Window.partitionBy("lang", "class").orderBy("h")
+    bound = rows.select("lang", "class", "h").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= sample // classes).groupBy("lang", "class").agg(F.max("h").alias("most"))
+    chosen = rows.join(F.broadcast(bound), ["lang", "class"]).filter(F.col("h") <= F.col("most"))
 
     def run(batches):
         for batch in batches:
