@@ -165,15 +165,18 @@ def identify(docs: DataFrame, held_out: int = 2) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose language can be told with a score above `least`."""
+    """The rows of docs, all columns, whose text holds a letter and whose score is `least` at least.
+
+    A text in a script that no profile knows has score 0 and stays by default; without any profile scores don't count.
+    """
     profiles = docs.sparkSession.sparkContext.broadcast(fit(tidy(docs, "doc_id", "text", "lang")))
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
 
     def run(batches):
-        judge = profiles.value.judge
+        known = profiles.value
         for batch in batches:
-            keep = [(j := judge(t.as_py()))[0] != "und" and j[1] > least for t in batch.column(text)]
+            keep = [has_letter(t) and (known.judge(t)[1] >= least or not known.names) for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.toDF(*names).mapInArrow(lean(run), docs.toDF(*names).schema).toDF(*docs.columns)
