@@ -12,10 +12,14 @@ spanning forest), and components come from tessera.llm.graph. Long runs are comp
 Words and shingles as in shingle_hashes(). A null text is an empty one; texts without words have fingerprint 0.
 Rows of a null doc_id get the component of the rows they equal, or null. Repeated rows are rows of one component. An
 empty table gives an empty result.
+
+kept_rows() serves the pipeline, where near copies are documents whose sets of shingles reach a Jaccard similarity.
+Fingerprints only choose candidates there, among documents that share a leading shingle; see similar_components().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +140,17 @@ class Verify:
         return ok
 
 
-def forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, verify: Verify) -> tuple[np.ndarray, np.ndarray]:
+class Within:
+    """Whether a pair is close enough, whatever key it was met under."""
+
+    def __init__(self, max_bits: int):
+        self.max_bits = max_bits
+
+    def __call__(self, kind: int, x: list[np.ndarray]) -> np.ndarray:
+        return sum(np.bitwise_count(w).astype(np.int16) for w in x) <= self.max_bits
+
+
+def forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, verify: Verify | Within) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that span the close pairs of whole runs of equal keys, of one kind."""
     new = np.flatnonzero(np.diff(key)) + 1
     starts = np.concatenate([[0], new])
@@ -164,9 +178,13 @@ def links(fps: DataFrame, bits: int, segments: int, max_bits: int) -> DataFrame:
     """a, b: ids whose fingerprints (id, f0, ...: all different) differ in at most max_bits bits, as spanning forests."""
     words = names(bits)
     parts = cuts(bits, segments, max_bits)
+    return met(index(fps, parts, words), words, Verify(parts, max_bits))
+
+
+def met(rows: DataFrame, words: list[str], verify: Verify | Within) -> DataFrame:
+    """a, b: spanning forests of the pairs that pass `verify`, over rows (kind, key, id, fingerprint) of equal keys."""
 
     def run(batches):
-        verify = Verify(parts, max_bits)
         held: list[tuple] = []
 
         def flush():
@@ -196,8 +214,7 @@ def links(fps: DataFrame, bits: int, segments: int, max_bits: int) -> DataFrame:
         if held:
             yield flush()
 
-    rows = index(fps, parts, words).repartition("kind", "key").sortWithinPartitions("kind", "key")
-    return rows.mapInArrow(lean(run), "a long, b long")
+    return rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(lean(run), "a long, b long")
 
 
 def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int = WORD, segments: int | None = None) -> DataFrame:
@@ -211,11 +228,143 @@ def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int
     return own.join(named, fs).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def kept_rows(docs: DataFrame, words: int = 5, max_bits: int = 20, bits: int = 128, segments: int = 8) -> DataFrame:
-    """The rows of docs, all columns, that are the smallest doc_id of their component.
+#: Documents of a group of candidates that one task compares with as many others.
+DEALT = 1024
+#: Columns of the 0/1 matrix of documents and shingles that are multiplied at once.
+COLUMNS = 4096
+
+
+def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The different shingle hashes of a text, ascending; that of nothing where there are no words."""
+    found = [np.unique(h) for h in shingle_hashes(text, words, seed)]
+    return np.unique(np.concatenate(found)) if found else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
+
+
+def majority(hashes: np.ndarray, bits: int) -> list[int]:
+    """The fingerprint of a set of shingle hashes."""
+    ones = np.zeros((bits // WORD, WORD), np.int64)
+    for k in range(0, len(hashes), 65_536):
+        for w in range(len(ones)):
+            ones[w] += np.unpackbits(_more(hashes[k : k + 65_536], w).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def similar(shared, total, least: float):
+    """Whether `shared` of `total` different shingles reach the similarity; 0.8 of 5 is 4, whatever floats say."""
+    return shared >= least * total - 1e-9 * total
+
+
+def leading(n: int, least: float) -> int:
+    """How many of n shingles, in any order that all sets follow, must hold one that a similar set's leading ones hold."""
+    return n - math.ceil(least * n - 1e-9 * n) + 1
+
+
+def sketches(docs: DataFrame, words: int, bits: int, least: float) -> DataFrame:
+    """doc_id, digest of the shingle set, fingerprint of the set, leading shingles."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t in pc.fill_null(batch.column("text").cast(pa.binary()), b""):
+                h = shingle_set(t.as_py(), words)
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), majority(h, bits), h[: leading(len(h), least)].view(np.int64)))
+            fps = np.array([r[1] for r in rows], np.uint64).reshape(-1, bits // WORD).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.binary()), *(pa.array(fps[:, w].copy()) for w in range(bits // WORD)), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc_id", "digest", *names(bits), "lead"])
+
+    return tidy(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, digest binary" + "".join(f", {f} long" for f in names(bits)) + ", lead array<long>")
+
+
+def exact_forest(sets: list[np.ndarray], half: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the pairs of similar sets; with halves, only pairs across them count."""
+    size = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(sets)), size), times[column] > 1
+    row, column = row[often], (np.cumsum(times > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = (np.arange(len(sets)),) * 2 if half is None else (np.flatnonzero(~half), np.flatnonzero(half))
+    shared = np.zeros((len(left), len(right)), np.int64)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [c, c + COLUMNS])
+        m = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - c)), np.float32)
+        m[row[a:b], column[a:b] - c] = 1
+        shared += (m[left] @ m[right].T).astype(np.int64)
+    x, y = np.nonzero(similar(shared, size[left][:, None] + size[right][None] - shared, least))
+    labels = merge_labels(np.arange(len(sets)), left[x], right[y])
+    out = np.flatnonzero(labels != np.arange(len(sets)))
+    return out, labels[out]
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """a, b: links that span the pairs of documents of one group (id, top) whose shingle sets are similar."""
+    members = stored(groups.select("id", "top").unionByName(groups.select(F.col("top").alias("id"), "top").distinct()), "members")
+    counts = members.groupBy("top").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
+    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).join(members, "id").join(counts, "top").select("id", "text", "top", "blocks")
+
+    def to_sets(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("top"), batch.column("blocks"), pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())], ["id", "top", "blocks", "set"])
+
+    # A document of block i goes to the tasks (i, 0..i) and (i+1.., i), so every pair of a group meets.
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = texts.mapInArrow(lean(to_sets), "id long, top long, blocks int, set binary").withColumn("mine", mine)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("top", F.greatest("mine", "other").alias("hi"), F.least("mine", "other").alias("lo"), "mine", "id", "set")
+    keys = ["top", "hi", "lo"]
+
+    def run(batches):
+        held, now = [], None
+
+        def flush():
+            ids = np.concatenate([h.column("id").to_numpy() for h in held])
+            mine = np.concatenate([h.column("mine").to_numpy() for h in held])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for h in held for x in h.column("set")]
+            half = None if now[1] == now[2] else mine == now[1]
+            if half is not None and (half.all() or not half.any()):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            a, b = exact_forest(sets, half, least)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+        for batch in batches:
+            k = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in keys])
+            cut = [0, *(np.flatnonzero((np.diff(k, axis=1) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                key = tuple(k[:, a].tolist())
+                if held and key != now:
+                    yield flush()
+                    held = []
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 72) -> DataFrame:
+    """doc_id, component_id: components of the pairs whose sets of shingles reach the similarity (Jaccard) `least`.
+
+    Similar sets share one of their leading shingles (those of least hash), so every such pair meets in a run. There
+    their fingerprints, unless they differ in over max_bits bits, make them candidates; groups of candidates are then
+    compared shingle by shingle, all pairs, and only these pairs become links.
+    """
+    fs = names(bits)
+    own = stored(sketches(docs, words, bits, least), "sketches")
+    each = own.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(f).alias(f) for f in fs), F.first("lead").alias("lead"))
+    rows = each.filter("id is not null").select(F.lit(0).alias("kind"), F.explode("lead").alias("key"), "id", *fs)
+    groups = components(met(rows, fs, Within(max_bits))).withColumnsRenamed({"a": "id", "b": "top"})
+    tree = components(similar_links(docs, groups, words, least)).withColumnsRenamed({"a": "id", "b": "top"})
+    named = each.select("digest", "id").join(tree, "id", "left").select("digest", F.coalesce("top", "id").alias("component_id"))
+    return own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+
+
+def kept_rows(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 72) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest doc_id of their component of similar_components().
 
-    By default a pair is near at 20 of 128 bits or fewer, which five-word shingles reach at a similarity (Jaccard) of
-    about 0.8. Rows without doc_id stay.
+    Rows without doc_id stay.
     """
-    gone = components_of(docs, words, max_bits, bits, segments).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    near = similar_components(docs, words, least, bits, max_bits)
+    gone = near.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
