@@ -6,15 +6,21 @@ All suffixes of a large corpus can't be sorted in the room there is, so those th
 1. In each WIDTH-byte window the GRAM-byte string of least hash is the window's anchor (leftmost of equals). Grams
    that stand in very many different surroundings are passed over where the window has another. So the anchor follows
    from the window's bytes alone, and equal windows have equal anchors at equal places. Windows with one anchor are
-   neighbours; their bytes together are the anchor's context. Hashes of anchors and contexts come from prefix
-   polynomial hashes. Contexts that a slice repeats are settled there, so a passage in any number of documents
-   reaches the next step once for each slice.
-2. Anchors meet by hash. An anchor seen once rules out its windows. Of contexts with equal hashes (128 bits) all but
-   the earliest go whole. Left are the earliest of each different context of an anchor.
-3. The bytes of these contexts are fetched and their windows' suffixes sorted, for each anchor and place in it, by
-   mergesort. Two suffixes are compared by binary search for their common extension with prefix hashes: a
-   logarithmic number of steps. Suffixes equal over WIDTH bytes lie side by side, earliest first; all but the first
-   go. Their bytes are compared in full; if hashes ever collide, the sort starts anew with another base.
+   neighbours; their bytes together are the anchor's context.
+2. Contexts of one anchor are sorted as suffixes. Two suffixes are compared by binary search for their common
+   extension with prefix hashes, a logarithmic number of steps, in a mergesort of all groups at once. Of equal contexts
+   all but the earliest go whole. This is done first in every slice of texts, so a passage in any number of documents
+   reaches the next step once for each slice, and again where the slices' contexts of an anchor meet.
+3. Where different contexts of an anchor are left, the suffixes of all their windows are sorted the same way, for each
+   place of the anchor. Suffixes equal over WIDTH bytes lie side by side, earliest first; all but the first go.
+
+Hashes only guide the sort: polynomials modulo a prime, over bases drawn at random for each run. What a sort yields
+is read off its neighbours' bytes, which must be in order; if hashes ever collide, it starts anew with another base.
+Anchors meet by hash too, but an anchor alone removes nothing.
+
+Anchors of a bucket meet as a stream that holds one row for each different anchor. An anchor with more than GROUP
+contexts is sorted in groups of that size first and the groups' survivors afterwards, so a passage in a large share of
+all documents never meets in one task as a whole. Buckets follow the bytes of all texts, as a sample estimates them.
 
 The list of grams to pass over is drawn from a sample, holds STOPS entries at most and is the same for all tasks. It
 spreads a phrase found everywhere over the anchors around it, so no task sorts all of its contexts; windows without
@@ -27,8 +33,9 @@ order is that of a hash of the text. A null doc_id comes before all others. An e
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import pickle
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +43,35 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lean, spans, stored, text_slices
+from tessera.llm.common import lean, spans, stored
 
 WIDTH = 100
 GRAM = 32
 #: Window starts of a document that are handled at once; the place in a piece takes 22 bits beside a hash.
 PIECE = 1 << 20
+#: Bytes of texts whose contexts are sorted together before they are dealt out.
+SLICE = 8 << 20
+#: Bytes of a text that are sent as one row.
+ROW = 16 << 20
+#: Bytes of text for each bucket of anchors.
+BUCKET = 16 << 20
+#: Contexts of one anchor that meet at once.
+GROUP = 8192
+#: Rows of a bucket of anchors that are taken up at once.
+TAKE = 1 << 18
 #: A gram with more surroundings than STOP, as estimated from a SHARE of the rows, is an anchor only for want of others.
 STOP = 8192
 SHARE = 1 / 64
 #: Grams listed as such at most, the most frequent first: 8 bytes each.
 STOPS = 1 << 18
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
+#: Bases that a run draws; the first two make anchors, all serve sorts in turn.
+BASES = 8
+_P = (1 << 31) - 1
+_LAST = 128  # set beside an anchor's place in the last context of an anchor's first group
+
+_ANCHOR = np.dtype([("id", "<i8"), ("mark", "<i8"), ("gram", "<u8"), ("a", "<i4"), ("off", "u1"), ("more", "u1")])
+_WANT = np.dtype([*_ANCHOR.descr, ("part", "<u4")])
+_GONE = np.dtype([("id", "<i8"), ("mark", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
 _SPAN = "doc_id long, mark long, lo long, hi long"
 
 
@@ -56,28 +80,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for any 64-bit x."""
+    p, s = np.uint64(_P), np.uint64(31)
+    x = (x & p) + (x >> s)
+    x = (x & p) + (x >> s)
+    x[x >= p] -= p
+    return x
+
+
+def draw_bases() -> list[int]:
+    return [secrets.randbelow(_P - 1000) + 500 for _ in range(BASES)]
+
+
+@functools.lru_cache(4 * BASES)
+def _powers(base: int) -> np.ndarray:
+    out = np.ones(PIECE + 1, np.uint64)
+    n = 1
+    while n <= PIECE:
+        k = min(n, PIECE + 1 - n)
+        out[n : n + k] = _mod(out[:k] * np.uint64(pow(base, n, _P)))
+        n += k
+    return out
+
+
 class Prefixes:
-    """Prefix polynomial hashes modulo 2^64 of a byte array."""
+    """Prefix polynomial hashes modulo a prime of a byte array."""
+
+    def __init__(self, data: np.ndarray, base: int):
+        self.base, self.h = base, np.zeros(len(data) + 1, np.uint32)
+        up, down = _powers(base), _powers(pow(base, -1, _P))
+        for a in range(0, len(data), PIECE):
+            part = data[a : a + PIECE]
+            total = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[1 : len(part) + 1])
+            self.h[a + 1 : a + 1 + len(part)] = _mod(up[1 : len(part) + 1] * _mod(_mod(total) + np.uint64(self.h[a])))
+
+    def all(self, size: int) -> np.ndarray:
+        """Hashes of the strings of this size at every place."""
+        return _mod(self.h[size:].astype(np.uint64) + np.uint64(_P) - _mod(self.h[: len(self.h) - size] * np.uint64(pow(self.base, size, _P))))
+
+    def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of the strings of these places and sizes (PIECE at most)."""
+        return _mod(self.h[at + size].astype(np.uint64) + np.uint64(_P) - _mod(self.h[at].astype(np.uint64) * _powers(self.base)[size]))
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def equal(self, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+        """Whether the strings of this size at i and j have one hash."""
+        end = self.h[i + size].astype(np.int64) - self.h[j + size]
+        start = self.h[i].astype(np.int64) - self.h[j]
+        return (end - start * pow(self.base, size, _P)) % _P == 0
 
-    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
-        n = len(data) + 1
-        have = self._powers.get(base)
-        if have is None or len(have[0]) < n:
-            size = max(n, 1 << 16)
-            up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            if size <= 2 * PIECE:
-                self._powers[base] = have
-        up, self.down = have
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=self.sums[1:])
 
-    def of(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        """Hashes of the strings of these places and sizes."""
-        return (self.sums[at + size] - self.sums[at]) * self.down[at]
+def _grams(part: np.ndarray, bases: list[int]) -> np.ndarray:
+    """Hashes (62 bits, mixed) of the grams of a piece of text."""
+    return _mix(Prefixes(part, bases[0]).all(GRAM) << np.uint64(31) | Prefixes(part, bases[1]).all(GRAM))
 
 
 class Stops:
@@ -96,191 +151,92 @@ class Stops:
         return at[self.grams[place] == g[at]]
 
 
-def anchors(data: np.ndarray, width: int = WIDTH, stops: Stops | None = None):
-    """For each anchor of a text: its hash, its context's hash, first window start, anchor's distance from it, windows - 1."""
-    n = len(data) - width + 1
-    out = []
+def anchors(part: np.ndarray, width: int, stops: Stops, bases: list[int]) -> tuple[np.ndarray, ...]:
+    """For each anchor of a piece of text: its hash, first window start, the anchor's distance from it, windows - 1."""
     reach = width - GRAM + 1
-    for c in range(0, max(n, 0), PIECE):
-        part = data[c : c + min(PIECE, n - c) + width - 1]
-        hashes = Prefixes(part)
-        grams = np.arange(len(part) - GRAM + 1)
-        g = _mix(hashes.of(grams, GRAM))
-        low = np.uint64(22)
-        m, s = (g >> low + np.uint64(1) << low) | grams.astype(np.uint64), 1
-        if stops is not None:
-            m[stops.find(g)] |= np.uint64(1 << 63)
-        while 2 * s <= reach:
-            m = np.minimum(m[:-s], m[s:])
-            s *= 2
-        if s < reach:
-            m = np.minimum(m[: len(m) - (reach - s)], m[reach - s :])
-        place = (m & np.uint64((1 << 22) - 1)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(place)) + 1
-        a = np.concatenate([[0], cut])
-        more = np.concatenate([cut, [len(place)]]) - a - 1
-        p = place[a]
-        context = _mix(hashes.of(a, more + width) + _mix((more << 8 | p - a).astype(np.uint64)))
-        out.append((g[p], context, a + c, p - a, more))
-    return [np.concatenate(x) for x in zip(*out)] if out else None
-
-
-def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by these keys (the first weighs most), and which rows of that order begin a new value."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, new
-
-
-def _surroundings(width: int):
-    """text -> (gram, n): grams that stand in n > 1 different surroundings (all windows over them) of a run of texts."""
+    g = _grams(part, bases)
+    low = np.uint64(22)
+    m, s = (g >> low + np.uint64(1) << low) | np.arange(len(g), dtype=np.uint64), 1
+    m[stops.find(g)] |= np.uint64(1 << 63)
+    while 2 * s <= reach:
+        m = np.minimum(m[:-s], m[s:])
+        s *= 2
+    if s < reach:
+        m = np.minimum(m[: len(m) - (reach - s)], m[reach - s :])
+    place = (m & np.uint64((1 << 22) - 1)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(place)) + 1
+    a = np.concatenate([[0], cut])
+    more = np.concatenate([cut, [len(place)]]) - a - 1
+    p = place[a]
+    return g[p], a, p - a, more
+
+
+def _surroundings(width: int, bases: list[int]):
+    """text -> (gram, n): grams that stand in n > 1 different surroundings (all windows over them) of a run of texts.
+
+    A row without gram tells the bytes of a task's texts.
+    """
 
     def count(held):
-        order, new = _firsts(*(np.concatenate(x) for x in zip(*held)))
-        gram, n = np.unique(np.concatenate([g for g, _ in held])[order[new]], return_counts=True)
+        gram, around = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((around, gram))
+        gram, around = gram[order], around[order]
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])])
+        gram, n = np.unique(gram[new], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["gram", "n"])
 
     def run(batches):
-        held = []
+        held, size = [], 0
         for batch in batches:
             for text in batch.column("text"):
                 data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                size += len(data)
                 for c in range(0, len(data) - width + 1, PIECE):
                     part = data[c : c + PIECE]
-                    h, at = Prefixes(part), np.arange(len(part) - GRAM + 1)
+                    if len(part) < width:
+                        continue
+                    at = np.arange(len(part) - GRAM + 1)
                     lo = np.maximum(at - (width - GRAM), 0)
-                    held.append((_mix(h.of(at, GRAM)), h.of(lo, np.minimum(at + width, len(part)) - lo)))
+                    held.append((_grams(part, bases), Prefixes(part, bases[2]).of(lo, np.minimum(at + width, len(part)) - lo)))
                     if sum(len(g) for g, _ in held) > PIECE:
                         yield count(held)
                         held = []
         if held:
             yield count(held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([size])], ["gram", "n"])
 
     return run
 
 
-def frequent(short: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """The grams to pass over, from a sample: at most STOPS."""
-    counts = short.select("text").sample(SHARE, seed=6).mapInArrow(lean(_surroundings(width)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") >= max(2, STOP * SHARE)).orderBy(F.desc("n"), "gram").limit(STOPS).select("gram").collect()
-    return np.array([r.gram for r in rows], np.int64).view(np.uint64)
-
-
-def _scan(width: int, buckets: int, listed: np.ndarray):
-    """documents (doc_id, mark, text) -> (bucket, blob) with the anchors of each slice, and settled spans."""
-
-    def run(batches):
-        turn, stops = 0, Stops(listed)
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                ids, marks = part.column("doc_id").to_numpy(), part.column("mark").to_numpy()
-                rows = []
-                for i in np.lexsort((marks, ids)).tolist():
-                    text = part.column("text")[i].as_buffer()
-                    if text is not None and (found := anchors(np.frombuffer(text, np.uint8), width, stops)):
-                        rows.append((np.full(len(found[0]), i, np.int32), *found))
-                if not rows:
-                    continue
-                doc, gram, context, a, off, more = (np.concatenate(x) for x in zip(*rows))
-                order, new = _firsts(gram, context)
-                # The sort is stable and rows lie in order of documents and places: the first of equals is the earliest.
-                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                again = ~new & ((ids[doc[head]] != ids[doc[order]]) | (marks[doc[head]] != marks[doc[order]]) | (a[head] != a[order]))
-                k = order[again]
-                k = k[np.lexsort((a[k], doc[k]))]
-                settled = (ids[doc[k]], marks[doc[k]], a[k].astype(np.int64), (a[k] + more[k] + width).astype(np.int64))
-                one = order[new]
-                bucket = (gram[one] >> np.uint64(20)) % np.uint64(buckets)
-                for b in range(buckets):
-                    own = one[bucket == b]
-                    if len(own):
-                        blob = pickle.dumps((ids[doc[own]], marks[doc[own]], gram[own], context[own], a[own].astype(np.int32), off[own].astype(np.uint8), more[own].astype(np.uint8)), 5)
-                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "settled": [False], "blob": pa.array([blob], pa.binary())})
-                if len(k):
-                    turn += 1
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([(turn * 7919 + int(ids[0])) % buckets], pa.int32()), "settled": [True], "blob": pa.array([pickle.dumps(settled, 5)], pa.binary())})
-
-    return run
-
-
-def _buckets(batches):
-    """(settled blobs, other blobs) of each bucket of sorted rows."""
-    now, settled, others = None, [], []
-    for batch in batches:
-        for b, s, blob in zip(batch.column("bucket").to_pylist(), batch.column("settled").to_pylist(), batch.column("blob")):
-            if b != now and (settled or others):
-                yield settled, others
-                settled, others = [], []
-            now = b
-            (settled if s else others).append(pickle.loads(blob.as_buffer()))
-    if settled or others:
-        yield settled, others
-
-
-_MEET = f"{_SPAN}, gram long, off int, more int"
-
+def frequent(short: DataFrame, width: int, bases: list[int]) -> tuple[np.ndarray, int]:
+    """From a sample of the rows: the grams to pass over, at most STOPS, and about how many bytes all texts have."""
+    counts = short.select("text").sample(SHARE, seed=6).mapInArrow(lean(_surroundings(width, bases)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("gram").isNull() | (F.col("n") >= max(2, STOP * SHARE))).orderBy(F.col("gram").isNull().desc(), F.desc("n"), "gram").limit(STOPS + 1).collect()
+    size = sum(r.n for r in rows if r.gram is None) / SHARE
+    return np.array([r.gram for r in rows if r.gram is not None], np.int64).view(np.uint64), int(size)
 
-def _meet(width: int):
-    """Spans that go (gram null), and the contexts whose suffixes must be sorted (lo: the first window's start)."""
-
-    def rows(ids, marks, lo, hi, gram=None, off=None, more=None):
-        nulls = pa.nulls(len(ids), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(lo), pa.array(hi), nulls if gram is None else pa.array(gram.view(np.int64)), pa.nulls(len(ids), pa.int32()) if off is None else pa.array(off.astype(np.int32)), pa.nulls(len(ids), pa.int32()) if more is None else pa.array(more.astype(np.int32))], ["doc_id", "mark", "lo", "hi", "gram", "off", "more"])
-
-    def run(batches):
-        for settled, others in _buckets(batches):
-            for s in settled:
-                yield rows(*s)
-            if not others:
-                continue
-            ids, marks, gram, context, a, off, more = (np.concatenate(x) for x in zip(*others))
-            order = np.argsort(gram, kind="stable")
-            cut = np.flatnonzero(np.diff(gram[order])) + 1
-            starts = np.concatenate([[0], cut])
-            size = np.diff(np.concatenate([starts, [len(order)]]))
-            order = order[np.repeat(size > 1, size)]
-            ids, marks, gram, context, a, off, more = (x[order] for x in (ids, marks, gram, context, a, off, more))
-            if not len(ids):
-                continue
-            order = np.lexsort((a, marks, ids, context, gram))
-            ids, marks, gram, context, a, off, more = (x[order] for x in (ids, marks, gram, context, a, off, more))
-            other = np.concatenate([[True], gram[1:] != gram[:-1]])
-            new = other | np.concatenate([[True], context[1:] != context[:-1]])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again = ~new & ((ids[head] != ids) | (marks[head] != marks) | (a[head] != a))
-            lo = a.astype(np.int64)
-            hi = lo + more + width
-            yield rows(ids[again], marks[again], lo[again], hi[again])
-            group = np.cumsum(other) - 1
-            several = new & (np.bincount(group[new])[group] > 1)
-            yield rows(ids[several], marks[several], lo[several], hi[several], gram[several], off[several], more[several])
 
-    return run
-
-
-def common_extension(h: Prefixes, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
-    """Length, width at most, over which the suffixes at i and j are equal, by binary search over hashes."""
+def common_extension(h: Prefixes, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length, size at most, over which the suffixes at i and j are equal, by binary search over hashes."""
     out = np.zeros(len(i), np.int64)
-    step = 1 << (width.bit_length() - 1)
+    step = 1 << (int(size.max(initial=1)).bit_length() - 1)
     while step:
-        can = np.flatnonzero(out + step <= width)
+        can = np.flatnonzero(out + step <= size)
         at = out[can]
-        same = h.of(i[can] + at, step) == h.of(j[can] + at, step)
-        out[can[same]] += step
+        out[can[h.equal(i[can] + at, j[can] + at, step)]] += step
         step >>= 1
     return out
 
 
-def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.ndarray, width: int, base: int = _BASES[0]) -> np.ndarray:
-    """Order of suffixes at[..] by (group, first width bytes, rank): a bottom-up mergesort, all groups at once."""
+def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
+    """Order of the suffixes at[..] by (group, first `size` bytes, place in the list): a bottom-up mergesort of all
+    groups at once. In a group all sizes are one."""
     h = Prefixes(data, base)
 
     def less(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        size = common_extension(h, at[i], at[j], width)
-        x, y = np.minimum(at[i] + size, len(data) - 1), np.minimum(at[j] + size, len(data) - 1)
-        return np.where(size < width, data[x] < data[y], rank[i] < rank[j])
+        common = common_extension(h, at[i], at[j], size[i])
+        x, y = np.minimum(at[i] + common, len(data) - 1), np.minimum(at[j] + common, len(data) - 1)
+        return np.where(common < size[i], data[x] < data[y], i < j)
 
     order = np.argsort(group, kind="stable")
     sizes = np.bincount(group)
@@ -295,7 +251,6 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.
         hi = np.minimum(lo + run, count[k])
         pair = first[k] + (mine & ~1) * run
         begin, lo, hi = first[k] + lo, first[k] + lo, first[k] + hi
-        left = mine % 2 == 0
         # How many of the neighbouring run come before each suffix.
         todo = np.arange(len(k))
         while len(todo := todo[lo[todo] < hi[todo]]):
@@ -309,75 +264,329 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.
     return order
 
 
-def _windows(context: list, width: int):
-    """Sort the windows of contexts (of whole anchors) and return the spans that go."""
-    ids, marks, a, gram, off, more, size, data = context
-    start = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(ids)), more + 1)
-    step = spans(np.zeros(len(more), np.int64), more.astype(np.int64) + 1)
-    place = off[of].astype(np.int64) - step  # the anchor's distance: equal for equal windows
-    _, gram_id = np.unique(gram, return_inverse=True)
-    _, group = np.unique(gram_id[of] * 256 + place, return_inverse=True)
-    at = start[of] + step
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((a, marks, ids))] = np.arange(len(ids))
-    alone = np.bincount(group)[group] < 2
-    of, step, at = of[~alone], step[~alone], at[~alone]
-    if not len(at):
-        return None
-    _, group = np.unique(group[~alone], return_inverse=True)
-    own = rank[of]  # in one group the starts follow the contexts' order
-    for base in _BASES:
-        order = sort_suffixes(data, at, group, own, width, base)
+def compare(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Sign of the comparison of the strings at x and y, byte by byte; sizes are width to 2 * width."""
+    view = np.lib.stride_tricks.sliding_window_view(data, width)
+    out = np.zeros(len(x), np.int8)
+    for c in range(0, len(x), 20_000):
+        for tail in (False, True):  # the first width bytes, then the last
+            k = np.arange(c, min(c + 20_000, len(x)))
+            if tail:
+                k = k[(out[k] == 0) & (size[k] > width)]
+            skip = size[k] - width if tail else 0
+            a, b = view[x[k] + skip], view[y[k] + skip]
+            other = a != b
+            at = other.argmax(axis=1)
+            row = np.flatnonzero(other[np.arange(len(k)), at]) if len(k) else k
+            out[k[row]] = np.where(a[row, at[row]] < b[row, at[row]], -1, 1)
+    return out
+
+
+def repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, size: np.ndarray, width: int, bases: list[int]) -> np.ndarray:
+    """Which of the strings (place, size) have an equal one before them in the list, in their group: sorted as
+    suffixes, and read off neighbours by their bytes."""
+    out = np.zeros(len(at), bool)
+    _, group, times = np.unique(group, return_inverse=True, return_counts=True)
+    k = np.flatnonzero(times[group] > 1)
+    if not len(k):
+        return out
+    at, size = at[k], size[k]
+    _, group = np.unique(group[k], return_inverse=True)
+    for base in bases:
+        order = sort_suffixes(data, at, group, size, base)
         x, y = order[:-1], order[1:]
-        h = Prefixes(data, base)
-        same = np.flatnonzero((group[x] == group[y]) & (h.of(at[x], width) == h.of(at[y], width)))
-        sure = all((data[at[x[c]][:, None] + np.arange(width)] == data[at[y[c]][:, None] + np.arange(width)]).all() for c in np.array_split(same, len(same) // 50_000 + 1))
-        if sure:
-            break
-    else:
-        raise ValueError("hashes collide under every base")
-    gone = order[same + 1]
-    gone = gone[np.lexsort((step[gone], of[gone]))]
-    of, lo = of[gone], a[of[gone]] + step[gone]
-    cut = np.flatnonzero((np.diff(of) != 0) | (np.diff(lo) != 1)) + 1 if len(gone) else np.zeros(0, np.int64)
-    b = np.concatenate([[0], cut]) if len(gone) else cut
-    e = np.concatenate([cut, [len(gone)]]) - 1 if len(gone) else cut
-    return pa.RecordBatch.from_arrays([pa.array(ids[of[b]]), pa.array(marks[of[b]]), pa.array(lo[b]), pa.array(lo[e] + width)], ["doc_id", "mark", "lo", "hi"])
+        side = group[x] == group[y]
+        x, y = x[side], y[side]
+        sign = compare(data, at[x], at[y], size[x], width)
+        if (sign <= 0).all():
+            out[k[y[sign == 0]]] = True
+            return out
+    raise ValueError("hashes collide under every base")
+
+
+def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, lo, hi) of the unions of spans that touch; doc: small whole numbers."""
+    if not len(doc):
+        return doc, lo, hi
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    far = np.maximum.accumulate((doc.astype(np.int64) << 32) + hi)
+    new = np.concatenate([[True], (doc[1:].astype(np.int64) << 32) + lo[1:] > far[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])
+    return doc[new], lo[new], far[last] - (doc[new].astype(np.int64) << 32)
+
+
+def _dealt(rows: np.ndarray, key: np.ndarray, kind: int) -> pa.RecordBatch:
+    """(key, kind, blob): the rows of each key as one blob."""
+    order = np.argsort(key, kind="stable")
+    key, raw = key[order], rows[order].tobytes()
+    cut = np.flatnonzero(np.diff(key)) + 1
+    ends = np.concatenate([[0], cut, [len(key)]]).astype(np.int32) * rows.dtype.itemsize
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+    return pa.RecordBatch.from_arrays([pa.array(key[np.concatenate([[0], cut])].astype(np.int32)), pa.array(np.full(len(ends) - 1, kind, np.int32)), blobs], ["key", "kind", "blob"])
+
+
+_BLOB = "key int, kind int, blob binary"
+_SETTLED, _OPEN = 0, 1  # kinds of blobs: spans that go, and anchors
+
+
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return (gram >> np.uint64(20)) % np.uint64(buckets)
+
+
+def _home(ids: np.ndarray, marks: np.ndarray, piece: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which a row of text meets what is wanted of it."""
+    return _mix(_mix(ids.view(np.uint64)) ^ marks.view(np.uint64) + piece.astype(np.uint64)) % np.uint64(buckets)
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary array without nulls, and where its texts start (and the last ends)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    starts = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)), starts.astype(np.int64)
+
+
+def _scan(width: int, buckets: int, listed: np.ndarray, bases: list[int]):
+    """documents (doc_id, mark, text) -> blobs of spans that go and of the anchors that are left of each slice."""
+
+    def flush(data, ids, marks, held):
+        doc, at, gram, a, off, more = (np.concatenate(x) for x in zip(*held))
+        size = more + width
+        # The rows lie in order of documents and places, so of equal contexts the earliest comes first.
+        order = np.lexsort((more, off, gram))
+        new = np.concatenate([[True], np.any([np.diff(x[order].astype(np.int64)) != 0 for x in (gram, off, more)], axis=0)])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        k = np.flatnonzero(np.bincount(group)[group] > 1)
+        gone = np.zeros(len(doc), bool)
+        if len(k):
+            small = data[spans(at[k], size[k])]
+            gone[k] = repeats(small, np.cumsum(size[k]) - size[k], group[k], size[k], width, bases)
+        if gone.any():
+            d, lo, hi = merged(doc[gone], a[gone], a[gone] + size[gone])
+            out = np.empty(len(d), _GONE)
+            out["id"], out["mark"], out["lo"], out["hi"] = ids[d], marks[d], lo, hi
+            yield _dealt(out, np.full(len(d), gram[0] % np.uint64(buckets)), _SETTLED)
+        left = ~gone
+        out = np.empty(int(left.sum()), _ANCHOR)
+        out["id"], out["mark"], out["gram"], out["a"], out["off"], out["more"] = ids[doc[left]], marks[doc[left]], gram[left], a[left], off[left], more[left]
+        yield _dealt(out, _bucket(out["gram"], buckets), _OPEN)
+
+    def run(batches):
+        stops = Stops(listed)
+        for batch in batches:
+            ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+            data, starts = _texts(batch.column("text"))
+            order = np.lexsort((marks, ids))
+            again = np.concatenate([[False], (np.diff(ids[order]) == 0) & (np.diff(marks[order]) == 0)]) if len(order) else []
+            held, size = [], 0
+            for i in order[~np.asarray(again, bool)].tolist():
+                text = data[starts[i] : starts[i + 1]]
+                for c in range(0, len(text) - width + 1, PIECE):
+                    part = text[c : c + PIECE + width - 1]
+                    gram, a, off, more = anchors(part, width, stops, bases)
+                    held.append((np.full(len(gram), i, np.int32), starts[i] + c + a, gram, a + c, off, more))
+                    size += len(part)
+                    if size > SLICE:
+                        yield from flush(data, ids, marks, held)
+                        held, size = [], 0
+            if held:
+                yield from flush(data, ids, marks, held)
+
+    return run
+
+
+def _by_key(batches, columns: list[str]):
+    """(key, rows of `columns` as lists) of each run of equal keys in sorted batches; a run may come in parts."""
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cut, cut[1:]):
+            if a < b:
+                part = batch.slice(a, b - a)
+                yield int(keys[a]), [part.column(c) for c in columns]
+
+
+def _meet(width: int, buckets: int):
+    """Blobs of each bucket in turn -> the spans as they are, and the anchors seen more than once, dealt by document."""
+
+    class Seen:
+        def __init__(self):
+            self.gram, self.n, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, _ANCHOR)
+
+        def take(self, rows: np.ndarray) -> np.ndarray:
+            """What is known by now to be wanted: rows whose anchor came before or comes again among them."""
+            rows = rows[np.argsort(rows["gram"], kind="stable")]
+            gram, first, n = np.unique(rows["gram"], return_index=True, return_counts=True)
+            place = np.minimum(np.searchsorted(self.gram, gram), max(len(self.gram) - 1, 0))
+            known = self.gram[place] == gram if len(self.gram) else np.zeros(len(gram), bool)
+            before = np.where(known, self.n[place], 0) if len(self.gram) else np.zeros(len(gram), np.int64)
+            rank = np.arange(len(rows)) - np.repeat(first, n) + np.repeat(before, n)
+            chosen = np.repeat(before + n > 1, n)
+            late = place[before == 1] if len(self.gram) else np.zeros(0, np.int64)
+            out = np.zeros(int(chosen.sum()) + len(late), _WANT)
+            for c in _ANCHOR.names:
+                out[c] = np.concatenate([rows[c][chosen], self.first[c][late]])
+            rank = np.concatenate([rank[chosen], np.zeros(len(late), np.int64)])
+            out["part"] = rank // GROUP
+            out["off"] |= np.where(rank == GROUP - 1, _LAST, 0).astype(np.uint8)
+            if len(self.gram):
+                self.n[place[known]] += n[known]
+            both = np.concatenate([self.gram, gram[~known]])
+            order = np.argsort(both, kind="stable")
+            self.gram, self.n = both[order], np.concatenate([self.n, n[~known]])[order]
+            self.first = np.concatenate([self.first, rows[first[~known]]])[order]
+            return out
+
+    def run(batches):
+        now, seen, held = None, Seen(), []
+
+        def taken():
+            out = seen.take(np.concatenate(held))
+            if len(out):
+                yield _dealt(out, _home(out["id"].copy(), out["mark"].copy(), out["a"] // ROW, buckets), _OPEN)
+
+        for key, (kinds, blobs) in _by_key(batches, ["kind", "blob"]):
+            if key != now:
+                if held:
+                    yield from taken()
+                now, seen, held = key, Seen(), []
+            gone = kinds.to_numpy() == _SETTLED
+            if gone.any():
+                n = int(gone.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int32)), pa.array(np.zeros(n, np.int32)), blobs.filter(pa.array(gone))], ["key", "kind", "blob"])
+            held += [np.frombuffer(b.as_buffer(), _ANCHOR) for b, g in zip(blobs, gone) if not g]
+            if sum(map(len, held)) > TAKE:
+                yield from taken()
+                held = []
+        if held:
+            yield from taken()
+
+    return run
 
 
 def _fetch(width: int, buckets: int):
-    """(doc_id, mark, packed, wanted) -> (bucket, blob) with the wanted contexts' bytes."""
+    """What is wanted and rows of text, by bucket -> (key, part, blob): contexts with their bytes, by anchor."""
+
+    def flush(held):
+        rows, size, data = (np.concatenate(x) for x in zip(*held))
+        start = np.cumsum(size) - size
+        key = _bucket(rows["gram"], buckets).astype(np.int64)
+        order = np.lexsort((rows["part"], key))
+        rows, size, start, key = rows[order], size[order], start[order], key[order]
+        cut = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(rows["part"].astype(np.int64)) != 0)) + 1).tolist(), len(rows)]
+        squeeze = zstandard.ZstdCompressor(1).compress
+        blobs = [squeeze(np.int32(b - a).tobytes() + rows[a:b].tobytes() + data[spans(start[a:b], size[a:b])].tobytes()) for a, b in zip(cut, cut[1:])]
+        first = np.array(cut[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(key[first].astype(np.int32)), pa.array(rows["part"][first].astype(np.int32)), pa.array(blobs, pa.binary())], ["key", "part", "blob"])
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                text = np.frombuffer(unpack(batch.column("packed")[i].as_py()), np.uint8)
-                want = batch.column("wanted")[i].values
-                a, gram, off, more = (want.field(n).to_numpy() for n in ("lo", "gram", "off", "more"))
-                size = more.astype(np.int64) + width
-                rows.append((np.full(len(a), batch.column("doc_id")[i].as_py()), np.full(len(a), batch.column("mark")[i].as_py()), a, gram, off, more, size, text[spans(a, size)]))
-                if i == batch.num_rows - 1 or sum(len(r[-1]) for r in rows) > 8 << 20:
-                    *cols, data = (np.concatenate(x) for x in zip(*rows))
-                    first = np.cumsum(cols[6]) - cols[6]
-                    bucket = (cols[3].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-                    for b in range(buckets):
-                        k = np.flatnonzero(bucket == b)
-                        if len(k):
-                            blob = pickle.dumps((*(c[k] for c in cols), data[spans(first[k], cols[6][k])]), 5)
-                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "settled": [False], "blob": pa.array([blob], pa.binary())})
-                    rows = []
+        now, wanted, place, held, size = None, [], None, [], 0
+        for key, (blobs, ids, marks, pieces, packed) in _by_key(batches, ["blob", "doc_id", "mark", "piece", "packed"]):
+            if key != now:
+                now, wanted, place = key, [], None
+            for i in range(len(blobs)):
+                if blobs[i].is_valid:
+                    wanted.append(np.frombuffer(blobs[i].as_buffer(), _WANT))
+                    continue
+                if place is None:
+                    place = {}
+                    if wanted:
+                        rows = np.concatenate(wanted)
+                        # A repeated document has come several times: its first rows stand for all.
+                        order = np.lexsort((rows["part"], ~(rows["off"] & _LAST), rows["a"], rows["mark"], rows["id"]))
+                        rows = rows[order]
+                        same = (np.diff(rows["id"]) == 0) & (np.diff(rows["mark"]) == 0) & (np.diff(rows["a"]) == 0)
+                        rows = rows[np.concatenate([[True], ~same])]
+                        piece = rows["a"] // ROW
+                        cut = [0, *(np.flatnonzero((np.diff(rows["id"]) != 0) | (np.diff(rows["mark"]) != 0) | (np.diff(piece) != 0)) + 1).tolist(), len(rows)]
+                        place = {(int(rows["id"][a]), int(rows["mark"][a]), int(piece[a])): rows[a:b] for a, b in zip(cut, cut[1:])}
+                which = ids[i].as_py(), marks[i].as_py(), pieces[i].as_py()
+                own = place.pop(which, None)
+                if own is None:
+                    continue
+                text = np.frombuffer(unpack(packed[i].as_py()), np.uint8)
+                n = own["more"].astype(np.int64) + width
+                held.append((own, n, text[spans(own["a"].astype(np.int64) - which[2] * ROW, n)]))
+                size += len(held[-1][2])
+                if size > SLICE:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
-def _sort(width: int):
+_SORTED = f"{_SPAN}, key int, blob binary"
+
+
+def _sort(width: int, bases: list[int], last: bool):
+    """(key, part, blob) in order -> spans that go, and blobs of what is left of anchors with several groups."""
+
+    def spans_of(rows, lo, hi):
+        other = (np.diff(rows["id"]) != 0) | (np.diff(rows["mark"]) != 0)  # the rows lie in order of documents
+        one = np.concatenate([[0], np.flatnonzero(other) + 1])
+        d, lo, hi = merged(np.concatenate([[0], np.cumsum(other)]), lo, hi)
+        n = len(d)
+        return pa.RecordBatch.from_arrays([pa.array(rows["id"][one[d]]), pa.array(rows["mark"][one[d]]), pa.array(lo), pa.array(hi), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "mark", "lo", "hi", "key", "blob"])
+
+    def settle(key, part, blobs):
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows, data = [], []
+        for b in blobs:
+            raw = unpack(b)
+            n = int(np.frombuffer(raw, np.int32, 1)[0])
+            rows.append(np.frombuffer(raw, _WANT, n, 4))
+            data.append(np.frombuffer(raw, np.uint8, offset=4 + n * _WANT.itemsize))
+        rows, data = np.concatenate(rows), np.concatenate(data)
+        size = rows["more"].astype(np.int64) + width
+        start = np.cumsum(size) - size
+        order = np.lexsort((rows["a"], rows["mark"], rows["id"]))
+        rows, size, start = rows[order], size[order], start[order]
+        off = (rows["off"] & ~np.uint8(_LAST)).astype(np.int64)
+        _, gram = np.unique(rows["gram"], return_inverse=True)
+        gone = repeats(data, start, (gram << 16) + (off << 8) + rows["more"], size, width, bases)
+        if gone.any():
+            a = rows["a"][gone].astype(np.int64)
+            yield spans_of(rows[gone], a, a + size[gone])
+        left = ~gone
+        if not last:
+            # Anchors with other groups go on to meet them; their windows are sorted there.
+            open_ = np.bincount(gram, (rows["off"] & _LAST) > 0)[gram] > 0 if not part else np.ones(len(rows), bool)
+            k = np.flatnonzero(open_ & left)
+            if len(k):
+                blob = zstandard.ZstdCompressor(1).compress(np.int32(len(k)).tobytes() + rows[k].tobytes() + data[spans(start[k], size[k])].tobytes())
+                one = [pa.nulls(1, pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([*one, pa.array([key], pa.int32()), pa.array([blob], pa.binary())], ["doc_id", "mark", "lo", "hi", "key", "blob"])
+            left &= ~open_
+        left &= np.bincount(gram[left], minlength=gram.max(initial=0) + 1)[gram] > 1
+        k = np.flatnonzero(left)
+        if not len(k):
+            return
+        # All windows of the contexts; equal ones have their anchor at an equal distance.
+        of = np.repeat(k, rows["more"][k].astype(np.int64) + 1)
+        step = spans(np.zeros(len(k), np.int64), rows["more"][k].astype(np.int64) + 1)
+        gone = repeats(data, start[of] + step, (gram[of] << 8) + off[of] - step, np.full(len(of), width), width, bases)
+        if gone.any():
+            lo = rows["a"][of[gone]] + step[gone]
+            yield spans_of(rows[of[gone]], lo, lo + width)
+
     def run(batches):
-        for _, others in _buckets(batches):
-            if (out := _windows([np.concatenate(x) for x in zip(*others)], width)) is not None:
-                yield out
+        now, blobs = None, []
+        for key, (parts, found) in _by_key(batches, ["part", "blob"]):
+            for part, blob in zip(parts.to_pylist(), found):
+                if (key, part) != now:
+                    if blobs:
+                        yield from settle(*now, blobs)
+                    now, blobs = (key, part), []
+                blobs.append(blob.as_buffer())
+        if blobs:
+            yield from settle(*now, blobs)
 
     return run
 
@@ -387,30 +596,54 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(docs["doc_id"], F.lit(-(2**63))), "__mark": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
 
 
-def spans_to_remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, mark and the sorted spans (lo, hi) of bytes that go, for each document with any."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    short = _marked(docs).select(F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    blobs = "bucket int, settled boolean, blob binary"
-    met = stored(short.mapInArrow(lean(_scan(width, buckets, frequent(short, width))), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_meet(width)), _MEET), "anchors")
-    wanted = met.filter("gram is not null").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "gram", "off", "more")).alias("wanted"))
-    # Rows that repeat a document would bring its contexts twice.
-    texts = packed(short).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    late = texts.mapInArrow(lean(_fetch(width, buckets)), blobs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sort(width)), _SPAN)
-    every = met.filter("gram is null").select("doc_id", "mark", "lo", "hi").unionByName(late)
-    return every.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+def _expand(batches):
+    """Blobs of spans -> a row for each span."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            rows = np.frombuffer(blob.as_buffer(), _GONE)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c].copy()) for c in _GONE.names], ["doc_id", "mark", "lo", "hi"])
 
 
-def packed(short: DataFrame) -> DataFrame:
-    """doc_id, mark, packed: texts compressed for the shuffle."""
+def _rows_of_text(width: int, buckets: int):
+    """(doc_id, mark, text) -> rows of at most ROW bytes and what follows of a context, compressed, with their bucket."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(1).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([squeeze(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["doc_id", "mark", "packed"])
+            ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+            data, starts = _texts(batch.column("text"))
+            at = [(i, p) for i in range(len(ids)) for p in range(-(-max(0, starts[i + 1] - starts[i] - width + 1) // ROW))]
+            if not at:
+                continue
+            i, p = (np.array(x, np.int64) for x in zip(*at))
+            lo = starts[i] + p * ROW
+            hi = np.minimum(lo + ROW + 2 * width, starts[i + 1])
+            packed = pa.array([squeeze(data[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_home(ids[i], marks[i], p, buckets).astype(np.int32)), pa.array(ids[i]), pa.array(marks[i]), pa.array(p), packed], ["key", "doc_id", "mark", "piece", "packed"])
+
+    return run
 
-    return short.mapInArrow(lean(run), "doc_id long, mark long, packed binary")
+
+def spans_to_remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, mark and the sorted spans (lo, hi) of bytes that go, for each document with any."""
+    spark = docs.sparkSession
+    short = _marked(docs).select(F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    bases = draw_bases()
+    listed, size = frequent(short, width, bases)
+    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    found = short.mapInArrow(lean(_scan(width, buckets, listed, bases)), _BLOB)
+    met = stored(found.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_meet(width, buckets)), _BLOB), "anchors")
+    wanted = met.filter(F.col("kind") == _OPEN).select("key", "blob")
+    texts = short.mapInArrow(lean(_rows_of_text(width, buckets)), "key int, doc_id long, mark long, piece long, packed binary")
+    # What is wanted of a bucket's documents comes before their texts.
+    both = wanted.unionByName(texts, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", F.col("blob").isNull(), "doc_id")
+    contexts = both.mapInArrow(lean(_fetch(width, buckets)), "key int, part int, blob binary").repartition("key", "part").sortWithinPartitions("key", "part")
+    first = stored(contexts.mapInArrow(lean(_sort(width, bases, False)), _SORTED), "sorted")
+    rest = first.filter("blob is not null").select("key", F.lit(0).alias("part"), "blob").repartition("key").sortWithinPartitions("key")
+    second = rest.mapInArrow(lean(_sort(width, bases, True)), _SORTED).select("doc_id", "mark", "lo", "hi")
+    settled = met.filter(F.col("kind") == _SETTLED).select("blob").mapInArrow(lean(_expand), _SPAN)
+    every = settled.unionByName(first.filter("blob is null").select("doc_id", "mark", "lo", "hi")).unionByName(second)
+    return every.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
 def _merged(found: pa.StructArray | None) -> list[tuple[int, int]]:

@@ -208,18 +208,60 @@ def test_suffixes_with_frequent_phrases(spark, sf, monkeypatch):
     rows += [(100 + i, rows[i][1][30:220] + noise(9)) for i in range(20)] + [(200, phrase * 9), (201, long[:150]), (202, None)]
     rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert len(suffixes.frequent(suffixes._marked(df).select("text").selectExpr("cast(text as binary) as text"))) > 30
+    listed, size = suffixes.frequent(df.selectExpr("cast(coalesce(text, '') as binary) as text"), suffixes.WIDTH, suffixes.draw_bases())
+    assert len(listed) > 30 and size == sum(len((t or "").encode()) for _, t in rows)
     want = brute_spans(rows, suffixes.WIDTH)
     assert {r.doc_id: tuple(r[1:]) for r in suffixes.report(df).collect()} == want
+    # Groups of an anchor's contexts that are smaller than what one has, and pieces that cut texts and contexts.
+    for name, value in (("STOP", 1 << 40), ("GROUP", 7), ("TAKE", 50), ("SLICE", 3000), ("ROW", 1000), ("PIECE", 700)):
+        monkeypatch.setattr(suffixes, name, value)
+    suffixes._powers.cache_clear()
+    assert {r.doc_id: tuple(r[1:]) for r in suffixes.report(df).collect()} == want
+    suffixes._powers.cache_clear()
+
+
+def test_built_collision_removes_nothing(spark):
+    """Two texts that share no 100-byte string, though polynomial hashes modulo 2^64 over a known base would say so."""
+    a = "ffejojdxtdiiiqleuxwluwudxwugkcbphgqbdmdrllinbhunnmfsihglcftgxugciprvuyihefkukggrdiieijeywgiubojndhbpdtdxoigtljhdhtefejtumuqtdrnsilofgxnbueqlwtroumgwblgxpeemodiqvkqgdowe"
+    b = "feeiokewtcjijqlfuyvkuvtdxwuhkcaoigrbdldskkjmbgtonnesjifmdgsfyvfciqquuyihefkukggrdiieijeywgiubojndhbpcsewoihukiieiudgfjsvmvruerorimoegwmcufplwsspulhvcmhwpfelpdhpvkqgcoxd"
+    rows = [(1, a), (2, b), (3, a)]
+    got = {r.doc_id: tuple(r[1:]) for r in suffixes.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_spans(rows, suffixes.WIDTH) and got[2][1] == 0 and got[3][1] == 168
+
+
+def test_repeated_documents(spark, monkeypatch):
+    """Rows that repeat a document aren't held against each other, even if there are more than a group of them."""
+    monkeypatch.setattr(suffixes, "GROUP", 5)
+    rng = np.random.default_rng(4)
+    text, other = ("".join(map(chr, rng.integers(97, 123, 400))) for _ in range(2))
+    rows = [(3, text)] * 40 + [(5, other + text[50:250])] + [(None, other)] * 30 + [(4, None)]
+    got = {r.doc_id: tuple(r[1:]) for r in suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    want = brute_spans(sorted(set(rows), key=str), suffixes.WIDTH)
+    assert {d if d is not None else -1: v for d, v in got.items()} == want and got[3][1] == 0 and got[5][1] == 600
 
 
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
-    at = np.arange(2900)
-    got = suffixes.sort_suffixes(data, at, np.zeros(2900, np.int64), at, 100)
-    raw = data.tobytes()
-    assert got.tolist() == sorted(range(2900), key=lambda i: (raw[i : i + 100], i))
+    at, raw = np.arange(2800), data.tobytes()
+    for base in (*suffixes.draw_bases(), 500):
+        got = suffixes.sort_suffixes(data, at, np.zeros(2800, np.int64), np.full(2800, 150), base)
+        assert got.tolist() == sorted(range(2800), key=lambda i: (raw[i : i + 150], i))
+    sign = suffixes.compare(data, at[:-1], at[1:], np.full(2799, 150), 100)
+    assert all((raw[i : i + 150] > raw[i + 1 : i + 151]) - (raw[i : i + 150] < raw[i + 1 : i + 151]) == s for i, s in enumerate(sign))
+
+
+def test_sorts_survive_colliding_hashes(monkeypatch):
+    """A base of 1 makes every arrangement of the same bytes collide: the neighbours' bytes tell, and another base serves."""
+    rng = np.random.default_rng(9)
+    parts = [rng.permutation(np.arange(100) % 7 + 97).astype(np.uint8) for _ in range(40)]
+    data = np.concatenate([parts[i] for i in rng.integers(0, 40, 200)])
+    at, size = np.arange(200) * 100, np.full(200, 100)
+    first = {}
+    want = [first.setdefault(data[a : a + 100].tobytes(), i) != i for i, a in enumerate(at.tolist())]
+    assert suffixes.repeats(data, at, np.zeros(200, np.int64), size, 100, [1, 12345]).tolist() == want
+    with pytest.raises(ValueError):
+        suffixes.repeats(data, at, np.zeros(200, np.int64), size, 100, [1])
 
 
 def test_language(docs, none, spark, sf):
