@@ -40,21 +40,21 @@ import secrets
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lean, spans, stored
 
 WIDTH = 100
 GRAM = 32
-#: Window starts of a document that are handled at once; the place in a piece takes 22 bits beside a hash.
-PIECE = 1 << 20
+#: Window starts that are handled at once; the place in a piece takes 22 bits beside a hash.
+PIECE = 1 << 18
 #: Bytes of texts whose contexts are sorted together before they are dealt out.
 SLICE = 8 << 20
 #: Bytes of a text that are sent as one row.
 ROW = 16 << 20
 #: Bytes of text for each bucket of anchors.
-BUCKET = 16 << 20
+BUCKET = 4 << 20
 #: Contexts of one anchor that meet at once.
 GROUP = 8192
 #: Rows of a bucket of anchors that are taken up at once.
@@ -80,13 +80,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is x modulo 2^31 - 1."""
+    return (x & np.uint64(_P)) + (x >> np.uint64(31))
+
+
 def _mod(x: np.ndarray) -> np.ndarray:
     """x modulo 2^31 - 1, for any 64-bit x."""
-    p, s = np.uint64(_P), np.uint64(31)
-    x = (x & p) + (x >> s)
-    x = (x & p) + (x >> s)
-    x[x >= p] -= p
-    return x
+    x = _fold(_fold(x))
+    return np.minimum(x, x - np.uint64(_P))  # what is below zero wraps to a large number
 
 
 def draw_bases() -> list[int]:
@@ -113,15 +115,15 @@ class Prefixes:
         for a in range(0, len(data), PIECE):
             part = data[a : a + PIECE]
             total = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[1 : len(part) + 1])
-            self.h[a + 1 : a + 1 + len(part)] = _mod(up[1 : len(part) + 1] * _mod(_mod(total) + np.uint64(self.h[a])))
+            self.h[a + 1 : a + 1 + len(part)] = _mod(up[1 : len(part) + 1] * (_fold(total) + np.uint64(self.h[a])))
 
     def all(self, size: int) -> np.ndarray:
         """Hashes of the strings of this size at every place."""
-        return _mod(self.h[size:].astype(np.uint64) + np.uint64(_P) - _mod(self.h[: len(self.h) - size] * np.uint64(pow(self.base, size, _P))))
+        return _mod(self.h[size:] + np.uint64(4 * _P) - _fold(self.h[: len(self.h) - size] * np.uint64(pow(self.base, size, _P))))
 
     def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Hashes of the strings of these places and sizes (PIECE at most)."""
-        return _mod(self.h[at + size].astype(np.uint64) + np.uint64(_P) - _mod(self.h[at].astype(np.uint64) * _powers(self.base)[size]))
+        return _mod(self.h[at + size] + np.uint64(4 * _P) - _fold(self.h[at] * _powers(self.base)[size]))
 
     def equal(self, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         """Whether the strings of this size at i and j have one hash."""
@@ -151,8 +153,11 @@ class Stops:
         return at[self.grams[place] == g[at]]
 
 
-def anchors(part: np.ndarray, width: int, stops: Stops, bases: list[int]) -> tuple[np.ndarray, ...]:
-    """For each anchor of a piece of text: its hash, first window start, the anchor's distance from it, windows - 1."""
+def anchors(part: np.ndarray, width: int, stops: Stops, bases: list[int], doc: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each anchor of a run of bytes: its hash, first window start, the anchor's distance from it, windows - 1.
+
+    doc: the document of each window start; whole: whether the window lies within it.
+    """
     reach = width - GRAM + 1
     g = _grams(part, bases)
     low = np.uint64(22)
@@ -164,9 +169,9 @@ def anchors(part: np.ndarray, width: int, stops: Stops, bases: list[int]) -> tup
     if s < reach:
         m = np.minimum(m[: len(m) - (reach - s)], m[reach - s :])
     place = (m & np.uint64((1 << 22) - 1)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(place)) + 1
-    a = np.concatenate([[0], cut])
-    more = np.concatenate([cut, [len(place)]]) - a - 1
+    a = np.concatenate([[0], np.flatnonzero((np.diff(place) != 0) | (np.diff(doc) != 0) | (whole[1:] != whole[:-1])) + 1])
+    more = np.diff(a, append=len(place)) - 1
+    a, more = a[whole[a]], more[whole[a]]
     p = place[a]
     return g[p], a, p - a, more
 
@@ -286,8 +291,11 @@ def repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, size: np.ndarra
     """Which of the strings (place, size) have an equal one before them in the list, in their group: sorted as
     suffixes, and read off neighbours by their bytes."""
     out = np.zeros(len(at), bool)
-    _, group, times = np.unique(group, return_inverse=True, return_counts=True)
-    k = np.flatnonzero(times[group] > 1)
+    # A string whose hash is alone in its group equals no other: only the rest is sorted.
+    _, group = np.unique(group, return_inverse=True)
+    same = group.astype(np.uint64) << np.uint64(31) | Prefixes(data, bases[-1]).of(at, size)
+    _, same, times = np.unique(same, return_inverse=True, return_counts=True)
+    k = np.flatnonzero(times[same] > 1)
     if not len(k):
         return out
     at, size = at[k], size[k]
@@ -330,13 +338,28 @@ _BLOB = "key int, kind int, blob binary"
 _SETTLED, _OPEN = 0, 1  # kinds of blobs: spans that go, and anchors
 
 
-def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
-    return (gram >> np.uint64(20)) % np.uint64(buckets)
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers or a few more, equally many of which Spark's hash deals to each partition of a shuffle."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each, size = -(-n // parts), 4 * n + 64 * parts
+    while True:
+        key = F.col("id").cast("int")
+        rows = spark.range(size).select(key.alias("key"), F.pmod(F.hash(key), F.lit(parts)).alias("part")).toArrow()
+        key, part = rows["key"].to_numpy(), rows["part"].to_numpy()
+        order = np.lexsort((key, part))
+        rank = np.arange(size) - np.searchsorted(part[order], part[order])
+        if (rank < each).sum() == each * parts:
+            return np.sort(key[order[rank < each]]).astype(np.int32)
+        size *= 2
+
 
+def _bucket(gram: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return ((gram >> np.uint64(20)) % np.uint64(len(buckets))).astype(np.int64)
 
-def _home(ids: np.ndarray, marks: np.ndarray, piece: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket in which a row of text meets what is wanted of it."""
-    return _mix(_mix(ids.view(np.uint64)) ^ marks.view(np.uint64) + piece.astype(np.uint64)) % np.uint64(buckets)
+
+def _home(ids: np.ndarray, marks: np.ndarray, piece: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """The key under which a row of text meets what is wanted of it."""
+    return buckets[(_mix(_mix(ids.view(np.uint64)) ^ marks.view(np.uint64) + piece.astype(np.uint64)) % np.uint64(len(buckets))).astype(np.int64)]
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -349,15 +372,16 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)), starts.astype(np.int64)
 
 
-def _scan(width: int, buckets: int, listed: np.ndarray, bases: list[int]):
+def _scan(width: int, buckets: np.ndarray, listed: np.ndarray, bases: list[int]):
     """documents (doc_id, mark, text) -> blobs of spans that go and of the anchors that are left of each slice."""
 
-    def flush(data, ids, marks, held):
-        doc, at, gram, a, off, more = (np.concatenate(x) for x in zip(*held))
-        size = more + width
-        # The rows lie in order of documents and places, so of equal contexts the earliest comes first.
-        order = np.lexsort((more, off, gram))
-        new = np.concatenate([[True], np.any([np.diff(x[order].astype(np.int64)) != 0 for x in (gram, off, more)], axis=0)])
+    def flush(data, starts, ids, marks, rank, held):
+        doc, at, gram, off, more = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(rank[doc], kind="stable")  # by documents and places, so of equal contexts the earliest comes first
+        doc, at, gram, off, more = (x[order] for x in (doc, at, gram, off, more))
+        a, size = at - starts[doc], more + width
+        order = np.lexsort((off << 8 | more, gram))
+        new = np.concatenate([[True], (np.diff(gram[order]) != 0) | (np.diff((off << 8 | more)[order]) != 0)])
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         k = np.flatnonzero(np.bincount(group)[group] > 1)
@@ -366,14 +390,15 @@ def _scan(width: int, buckets: int, listed: np.ndarray, bases: list[int]):
             small = data[spans(at[k], size[k])]
             gone[k] = repeats(small, np.cumsum(size[k]) - size[k], group[k], size[k], width, bases)
         if gone.any():
-            d, lo, hi = merged(doc[gone], a[gone], a[gone] + size[gone])
+            r, lo, hi = merged(rank[doc[gone]], a[gone], a[gone] + size[gone])
+            d = np.argsort(rank)[r]
             out = np.empty(len(d), _GONE)
             out["id"], out["mark"], out["lo"], out["hi"] = ids[d], marks[d], lo, hi
-            yield _dealt(out, np.full(len(d), gram[0] % np.uint64(buckets)), _SETTLED)
+            yield _dealt(out, np.full(len(d), buckets[int(gram[0]) % len(buckets)]), _SETTLED)
         left = ~gone
         out = np.empty(int(left.sum()), _ANCHOR)
         out["id"], out["mark"], out["gram"], out["a"], out["off"], out["more"] = ids[doc[left]], marks[doc[left]], gram[left], a[left], off[left], more[left]
-        yield _dealt(out, _bucket(out["gram"], buckets), _OPEN)
+        yield _dealt(out, buckets[_bucket(out["gram"], buckets)], _OPEN)
 
     def run(batches):
         stops = Stops(listed)
@@ -381,20 +406,27 @@ def _scan(width: int, buckets: int, listed: np.ndarray, bases: list[int]):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             data, starts = _texts(batch.column("text"))
             order = np.lexsort((marks, ids))
-            again = np.concatenate([[False], (np.diff(ids[order]) == 0) & (np.diff(marks[order]) == 0)]) if len(order) else []
+            rank = np.argsort(order)
+            # Rows that repeat a document count once.
+            same = (np.diff(ids[order]) == 0) & (np.diff(marks[order]) == 0)
+            again = np.zeros(len(ids), bool)
+            again[order[1:][same]] = True
             held, size = [], 0
-            for i in order[~np.asarray(again, bool)].tolist():
-                text = data[starts[i] : starts[i + 1]]
-                for c in range(0, len(text) - width + 1, PIECE):
-                    part = text[c : c + PIECE + width - 1]
-                    gram, a, off, more = anchors(part, width, stops, bases)
-                    held.append((np.full(len(gram), i, np.int32), starts[i] + c + a, gram, a + c, off, more))
-                    size += len(part)
-                    if size > SLICE:
-                        yield from flush(data, ids, marks, held)
-                        held, size = [], 0
+            for c in range(int(starts[0]), int(starts[-1]) - width + 1, PIECE):
+                at = np.arange(c, min(c + PIECE, starts[-1] - width + 1))
+                first = np.searchsorted(starts, c, "right") - 1
+                last = np.searchsorted(starts, at[-1], "right") - 1
+                doc = np.repeat(np.arange(first, last + 1), np.diff(np.concatenate([[c], starts[first + 1 : last + 1], [at[-1] + 1]])))
+                whole = (at + width <= starts[doc + 1]) & ~again[doc]
+                if whole.any():
+                    gram, a, off, more = anchors(data[c : at[-1] + width], width, stops, bases, doc, whole)
+                    held.append((doc[a], a + c, gram, off, more))
+                    size += len(at)
+                if size > SLICE:
+                    yield from flush(data, starts, ids, marks, rank, held)
+                    held, size = [], 0
             if held:
-                yield from flush(data, ids, marks, held)
+                yield from flush(data, starts, ids, marks, rank, held)
 
     return run
 
@@ -410,7 +442,7 @@ def _by_key(batches, columns: list[str]):
                 yield int(keys[a]), [part.column(c) for c in columns]
 
 
-def _meet(width: int, buckets: int):
+def _meet(buckets: np.ndarray):
     """Blobs of each bucket in turn -> the spans as they are, and the anchors seen more than once, dealt by document."""
 
     class Seen:
@@ -468,20 +500,21 @@ def _meet(width: int, buckets: int):
     return run
 
 
-def _fetch(width: int, buckets: int):
-    """What is wanted and rows of text, by bucket -> (key, part, blob): contexts with their bytes, by anchor."""
+def _fetch(width: int, buckets: np.ndarray):
+    """What is wanted and rows of text, by key -> (key, team, blob): contexts with their bytes, by bucket and group."""
 
     def flush(held):
         rows, size, data = (np.concatenate(x) for x in zip(*held))
         start = np.cumsum(size) - size
-        key = _bucket(rows["gram"], buckets).astype(np.int64)
-        order = np.lexsort((rows["part"], key))
-        rows, size, start, key = rows[order], size[order], start[order], key[order]
-        cut = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(rows["part"].astype(np.int64)) != 0)) + 1).tolist(), len(rows)]
+        team = _bucket(rows["gram"], buckets) << 32 | rows["part"].astype(np.int64)
+        order = np.argsort(team, kind="stable")
+        rows, size, start, team = rows[order], size[order], start[order], team[order]
+        cut = [0, *(np.flatnonzero(np.diff(team)) + 1).tolist(), len(rows)]
         squeeze = zstandard.ZstdCompressor(1).compress
         blobs = [squeeze(np.int32(b - a).tobytes() + rows[a:b].tobytes() + data[spans(start[a:b], size[a:b])].tobytes()) for a, b in zip(cut, cut[1:])]
-        first = np.array(cut[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(key[first].astype(np.int32)), pa.array(rows["part"][first].astype(np.int32)), pa.array(blobs, pa.binary())], ["key", "part", "blob"])
+        team = team[cut[:-1]]
+        key = buckets[((team >> 32) + 7919 * (team & 0xFFFFFFFF)) % len(buckets)]  # further groups of an anchor lie elsewhere
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(team), pa.array(blobs, pa.binary())], ["key", "team", "blob"])
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -522,20 +555,20 @@ def _fetch(width: int, buckets: int):
     return run
 
 
-_SORTED = f"{_SPAN}, key int, blob binary"
+_SORTED = f"{_SPAN}, team long, blob binary"
 
 
 def _sort(width: int, bases: list[int], last: bool):
-    """(key, part, blob) in order -> spans that go, and blobs of what is left of anchors with several groups."""
+    """(key, team, blob) in order -> spans that go, and blobs of what is left of anchors with several groups."""
 
     def spans_of(rows, lo, hi):
         other = (np.diff(rows["id"]) != 0) | (np.diff(rows["mark"]) != 0)  # the rows lie in order of documents
         one = np.concatenate([[0], np.flatnonzero(other) + 1])
         d, lo, hi = merged(np.concatenate([[0], np.cumsum(other)]), lo, hi)
         n = len(d)
-        return pa.RecordBatch.from_arrays([pa.array(rows["id"][one[d]]), pa.array(rows["mark"][one[d]]), pa.array(lo), pa.array(hi), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "mark", "lo", "hi", "key", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(rows["id"][one[d]]), pa.array(rows["mark"][one[d]]), pa.array(lo), pa.array(hi), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["doc_id", "mark", "lo", "hi", "team", "blob"])
 
-    def settle(key, part, blobs):
+    def settle(team, blobs):
         unpack = zstandard.ZstdDecompressor().decompress
         rows, data = [], []
         for b in blobs:
@@ -557,12 +590,12 @@ def _sort(width: int, bases: list[int], last: bool):
         left = ~gone
         if not last:
             # Anchors with other groups go on to meet them; their windows are sorted there.
-            open_ = np.bincount(gram, (rows["off"] & _LAST) > 0)[gram] > 0 if not part else np.ones(len(rows), bool)
+            open_ = np.bincount(gram, (rows["off"] & _LAST) > 0)[gram] > 0 if not team & 0xFFFFFFFF else np.ones(len(rows), bool)
             k = np.flatnonzero(open_ & left)
             if len(k):
                 blob = zstandard.ZstdCompressor(1).compress(np.int32(len(k)).tobytes() + rows[k].tobytes() + data[spans(start[k], size[k])].tobytes())
                 one = [pa.nulls(1, pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([*one, pa.array([key], pa.int32()), pa.array([blob], pa.binary())], ["doc_id", "mark", "lo", "hi", "key", "blob"])
+                yield pa.RecordBatch.from_arrays([*one, pa.array([team >> 32 << 32], pa.int64()), pa.array([blob], pa.binary())], ["doc_id", "mark", "lo", "hi", "team", "blob"])
             left &= ~open_
         left &= np.bincount(gram[left], minlength=gram.max(initial=0) + 1)[gram] > 1
         k = np.flatnonzero(left)
@@ -578,15 +611,15 @@ def _sort(width: int, bases: list[int], last: bool):
 
     def run(batches):
         now, blobs = None, []
-        for key, (parts, found) in _by_key(batches, ["part", "blob"]):
-            for part, blob in zip(parts.to_pylist(), found):
-                if (key, part) != now:
+        for batch in batches:
+            for team, blob in zip(batch.column("team").to_pylist(), batch.column("blob")):
+                if team != now:
                     if blobs:
-                        yield from settle(*now, blobs)
-                    now, blobs = (key, part), []
+                        yield from settle(now, blobs)
+                    now, blobs = team, []
                 blobs.append(blob.as_buffer())
         if blobs:
-            yield from settle(*now, blobs)
+            yield from settle(now, blobs)
 
     return run
 
@@ -604,7 +637,7 @@ def _expand(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rows[c].copy()) for c in _GONE.names], ["doc_id", "mark", "lo", "hi"])
 
 
-def _rows_of_text(width: int, buckets: int):
+def _rows_of_text(width: int, buckets: np.ndarray):
     """(doc_id, mark, text) -> rows of at most ROW bytes and what follows of a context, compressed, with their bucket."""
 
     def run(batches):
@@ -619,7 +652,7 @@ def _rows_of_text(width: int, buckets: int):
             lo = starts[i] + p * ROW
             hi = np.minimum(lo + ROW + 2 * width, starts[i + 1])
             packed = pa.array([squeeze(data[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_home(ids[i], marks[i], p, buckets).astype(np.int32)), pa.array(ids[i]), pa.array(marks[i]), pa.array(p), packed], ["key", "doc_id", "mark", "piece", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(_home(ids[i], marks[i], p, buckets)), pa.array(ids[i]), pa.array(marks[i]), pa.array(p), packed], ["key", "doc_id", "mark", "piece", "packed"])
 
     return run
 
@@ -630,16 +663,16 @@ def spans_to_remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     short = _marked(docs).select(F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     bases = draw_bases()
     listed, size = frequent(short, width, bases)
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    buckets = even_keys(spark, size // BUCKET + 1)
     found = short.mapInArrow(lean(_scan(width, buckets, listed, bases)), _BLOB)
-    met = stored(found.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_meet(width, buckets)), _BLOB), "anchors")
+    met = stored(found.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_meet(buckets)), _BLOB), "anchors")
     wanted = met.filter(F.col("kind") == _OPEN).select("key", "blob")
     texts = short.mapInArrow(lean(_rows_of_text(width, buckets)), "key int, doc_id long, mark long, piece long, packed binary")
     # What is wanted of a bucket's documents comes before their texts.
     both = wanted.unionByName(texts, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", F.col("blob").isNull(), "doc_id")
-    contexts = both.mapInArrow(lean(_fetch(width, buckets)), "key int, part int, blob binary").repartition("key", "part").sortWithinPartitions("key", "part")
+    contexts = both.mapInArrow(lean(_fetch(width, buckets)), "key int, team long, blob binary").repartition("key").sortWithinPartitions("team")
     first = stored(contexts.mapInArrow(lean(_sort(width, bases, False)), _SORTED), "sorted")
-    rest = first.filter("blob is not null").select("key", F.lit(0).alias("part"), "blob").repartition("key").sortWithinPartitions("key")
+    rest = first.filter("blob is not null").select("team", "blob").repartition("team").sortWithinPartitions("team")
     second = rest.mapInArrow(lean(_sort(width, bases, True)), _SORTED).select("doc_id", "mark", "lo", "hi")
     settled = met.filter(F.col("kind") == _SETTLED).select("blob").mapInArrow(lean(_expand), _SPAN)
     every = settled.unionByName(first.filter("blob is null").select("doc_id", "mark", "lo", "hi")).unionByName(second)

@@ -259,7 +259,8 @@ def test_sorts_survive_colliding_hashes(monkeypatch):
     at, size = np.arange(200) * 100, np.full(200, 100)
     first = {}
     want = [first.setdefault(data[a : a + 100].tobytes(), i) != i for i, a in enumerate(at.tolist())]
-    assert suffixes.repeats(data, at, np.zeros(200, np.int64), size, 100, [1, 12345]).tolist() == want
+    for bases in ([1, 12345], [12345, 1], [1, 1, 54321]):
+        assert suffixes.repeats(data, at, np.zeros(200, np.int64), size, 100, bases).tolist() == want
     with pytest.raises(ValueError):
         suffixes.repeats(data, at, np.zeros(200, np.int64), size, 100, [1])
 
