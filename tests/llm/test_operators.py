@@ -312,28 +312,75 @@ def test_sharding(docs, none):
 
 
 def test_chat(spark, sf):
+    from pyspark.sql import functions as F
+
+    sf = sf.replace("0.001", "0.01")
     raw = chat.transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
-    model = chat.fit(raw)
-    want = {(r.conv_id, r.seq): r.role for r in raw.collect()}
-    got = chat.parse(raw.drop("role"), model).collect()
-    right = sum(want[r.conv_id, r.seq] == r.role for r in got if r.part == 0)
-    assert right >= 0.95 * len(want)
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0
+    model = chat.fit(raw.filter(~held))
+    want = {(r.conv_id, r.seq): (r.role, r.text) for r in raw.filter(held).join(spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", F.col("turn").alias("seq"), "text"), ["conv_id", "seq"]).collect()}
+    got = {(r.conv_id, r.seq): (r.role, r.text) for r in chat.parse(raw.filter(held).drop("role"), model).collect() if r.part == 0}
+    assert sum(got[k][0] == want[k][0] for k in want if k in got) >= 0.97 * len(want)
+    assert sum(got[k][1] == (want[k][1] or "").strip() for k in want if k in got) >= 0.96 * len(want)
     odd = spark.createDataFrame([(1, 0, None), (1, 1, "User: hi"), (2, 0, ""), (None, None, "Bot: x\nmore"), (3, 0, "### System:\nbe kind\n\nHuman: ok?\nAI: yes")], "conv_id long, seq long, raw string")
     rows = sorted(((r.conv_id or 0, r.role, r.text) for r in chat.parse(odd, model).collect()))
     assert (1, "user", "hi") in rows and (3, "user", "ok?") in rows and (3, "assistant", "yes") in rows and any(r[0] == 0 for r in rows)
     assert chat.parse(spark.createDataFrame([], "conv_id long, seq long, raw string"), model).count() == 0
 
 
+def states(first, move):
+    """A model whose lines show nothing but their marker, with given chances."""
+    show = [np.zeros((chat.STATES, n)) for n in chat.SIZES]
+    for s in range(chat.STATES):
+        show[0][s, s // 2 + 1 if s % 2 == 0 else 0] = 50
+    return chat.Model(np.array(first, float), np.array(move, float), show)
+
+
+def test_text_stays_as_written(spark):
+    later = np.full((6, 6), 1.0)
+    for s in range(6):
+        later[s, s // 2 * 2 + 1] = 1000  # a turn goes on, whatever its lines look like
+    model = states([1, 0, 1, 0, 1, 0], later)
+    raw = "Assistant: First step.\nA: keep this letter\n\n  indented code\n\n"
+    df = spark.createDataFrame([(1, 0, raw), (1, 1, "\n  tail")], "conv_id long, seq long, raw string")
+    rows = chat.parse(df, model).collect()
+    text = "First step.\nA: keep this letter\n\n  indented code\n\n\n\n  tail"
+    assert [(r.role, r.text, r.rendered) for r in rows] == [("assistant", text, f"<|assistant|>\n{text}\n<|end|>\n")]
+
+
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    model = chat.Model(rng.random(6) * 9, rng.random((6, 6)) * 9, [rng.random((6, n)) * 9 for n in chat.SIZES])
+    for n in (1, 2, 4):
+        lines = [tuple(int(rng.integers(k)) for k in chat.SIZES) for _ in range(n)]
+        s = model.scores(lines)
+        cost = lambda p: model.start[p[0]] + s[0, p[0]] + sum(model.move[a, b] + s[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))  # noqa: E731, B023
+        best = max(product(range(6), repeat=n), key=cost)
+        assert model.decode(s) == list(best)
+        across = model.across(s)
+        for a, b in product(range(6), repeat=2):
+            ends = [p for p in product(range(6), repeat=n) if p[-1] == b]
+            assert across[a, b] == pytest.approx(max(model.move[a, p[0]] + s[0, p[0]] + sum(model.move[x, y] + s[i + 1, y] for i, (x, y) in enumerate(zip(p, p[1:]))) for p in ends))
+
+
 def test_chunks_change_nothing(spark, sf, monkeypatch):
     from pyspark.sql import functions as F
 
     raw = chat.transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
     model = chat.fit(raw)
-    one = raw.select(F.lit(7).cast("long").alias("conv_id"), (F.col("conv_id") * 10 + F.col("seq")).alias("seq"), "raw")
-    monkeypatch.setattr(chat, "CHUNK", 10**9)
-    whole = sorted(tuple(r)[:6] for r in chat.parse(one, model).collect())
-    monkeypatch.setattr(chat, "CHUNK", 64)
-    assert sorted(tuple(r)[:6] for r in chat.parse(one, model).collect()) == whole
+    # Blank lines at the ends of rows, rows of blank lines alone, and turns over many rows; then rows of one number.
+    wild = F.concat("raw", F.when(F.col("seq") % 3 == 0, "\n\n").when(F.col("seq") % 5 == 0, "\n  more\n").otherwise(""))
+    one = raw.select(F.lit(7).cast("long").alias("conv_id"), (F.col("conv_id") * 10 + F.col("seq")).alias("seq"), F.when(F.col("conv_id") % 4 == 0, "\n \n").when(F.col("conv_id") % 4 == 1, "plain words go on").otherwise(wild).alias("raw"))
+    same = one.select(F.lit(None).cast("long").alias("conv_id"), F.when(F.col("seq") % 2 == 0, 5).cast("long").alias("seq"), F.concat("raw", F.col("seq").cast("string")).alias("raw"))
+    for rows, cuts in ((one, (64, 3)), (same, (16,))):
+        monkeypatch.setattr(chat, "CHUNK", 10**9)
+        key = lambda r: (str(r.seq), r.role, r.text, r.rendered)
+        whole = sorted(map(key, chat.parse(rows, model).collect()))
+        for cut in cuts:
+            monkeypatch.setattr(chat, "CHUNK", cut)
+            assert sorted(map(key, chat.parse(rows, model).collect())) == whole
 
 
 def test_pipeline(spark, sf, docs):
