@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Parts in which the rows of one key meet before they meet as a whole; at most 63.
+SALTS = 32
 #: Bytes of text that one vectorised step handles at once in a Python worker.
 SLICE_BYTES = 8 << 20
 
@@ -22,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one if it is unset, but only where
+    driver and executors are one process."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = getattr(sc, "_tessera_dir", None)
         if place is None:
             place = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
@@ -34,12 +40,53 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def _written(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tessera_written"):
+        sc._tessera_written = []
+    return sc._tessera_written
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete what stored() has written after the first `since` tables, but for the table `keep`."""
+    paths, jvm = _written(spark), spark.sparkContext._jvm
+    for path in paths[since:]:
+        if keep is None or path != keep._tessera_path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            paths.remove(path)
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables of stored() there are."""
+    return len(_written(spark))
+
+
+def salt(column: Column) -> Column:
+    """A row's part among those of its key."""
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def parts(column: Column) -> Column:
+    """Aggregate: which parts a key has, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), column))
+
+
+def each_part(df: DataFrame, bits: str, to: str) -> DataFrame:
+    """A row for each of the parts that the bits name, SALTS at most, instead of the bits."""
+    every = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(bits, i) == 1)
+    return df.withColumn(to, F.explode(every)).drop(bits)
 
 
 def tidy(df: DataFrame, *columns: str) -> DataFrame:

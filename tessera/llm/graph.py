@@ -1,16 +1,17 @@
 """Distributed connected components: large-star and small-star steps in turn, until no link changes.
 
-Every step is a grouping with partial sums and a join that adaptive execution can split, and is written to the
-shared folder, so neither links nor components pass through the driver.
+Every step groups links in salted parts, then as a whole, and joins what was found back part by part, so a node with
+very many links is dealt over SALTS tasks. Each round is written to the shared folder, and the one before it deleted;
+neither links nor components pass through the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, each_part, parts, salt, stored, written
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,8 +27,11 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return labels
 
 
-def _mark(links: DataFrame):
-    return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def with_least(links: DataFrame) -> DataFrame:
+    """a, b, m: the links with the least b of their a. Links of one a meet in parts first and are joined by part."""
+    salted = links.withColumn("part", salt(F.col("b")))
+    each = salted.groupBy("a", "part").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), parts(F.col("part")).alias("bits"))
+    return salted.join(each_part(each, "bits", "part"), ["a", "part"]).select("a", "b", "m")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -35,16 +39,24 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     links: columns a and b of one ordered type. Nulls, loops and repeated links do nothing; no links, no rows.
     """
-    now = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = _mark(now)
+
+    def kept(df):
+        """The links, larger end first, as a table, with a mark that tells whether they have changed."""
+        seen = Observation()
+        ends = df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        out = stored(ends.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+        return out, (seen.get["n"], seen.get["sum"])
+
+    spark = links.sparkSession
+    now, mark = kept(links)
     while mark[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = stored(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-        before, mark = mark, _mark(now)
+        since = written(spark) - 1
+        both = with_least(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = both.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+        small = with_least(large)
+        before = mark
+        now, mark = kept(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))))
+        discard(spark, now, since)
         if before == mark:
             break
     return now

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lean, stored, tidy
+from tessera.llm.common import each_part, lean, parts, salt, stored, tidy
 from tessera.llm.graph import components, merge_labels
 
 WORD = 64
@@ -220,12 +220,14 @@ def met(rows: DataFrame, words: list[str], verify: Verify | Within) -> DataFrame
 def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int = WORD, segments: int | None = None) -> DataFrame:
     """doc_id, fingerprint (hex digits), component_id: the smallest doc_id that links lead to."""
     fs = names(bits)
-    own = stored(fingerprints(docs, words, bits), "fingerprints")
-    each = own.groupBy(*fs).agg(F.min("doc_id").alias("id"))
+    own = stored(fingerprints(docs, words, bits), "fingerprints").withColumn("part", salt(F.col("doc_id")))
+    # Rows of one fingerprint meet in parts first, and the component returns to them part by part.
+    each = own.groupBy(*fs, "part").agg(F.min("doc_id").alias("id")).groupBy(*fs).agg(F.min("id").alias("id"), parts(F.col("part")).alias("bits"))
+    each = stored(each, "different")
     tree = components(links(each.filter("id is not null"), bits, segments or max_bits // 2 + 1, max_bits))
-    named = each.join(tree.withColumnsRenamed({"a": "id", "b": "top"}), "id", "left").select(*fs, F.coalesce("top", "id").alias("component_id"))
+    named = each.join(tree.withColumnsRenamed({"a": "id", "b": "top"}), "id", "left").select(*fs, "bits", F.coalesce("top", "id").alias("component_id"))
     digits = F.lower(F.concat(*(F.lpad(F.hex(f), 16, "0") for f in reversed(fs))))
-    return own.join(named, fs).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return own.join(each_part(named, "bits", "part"), [*fs, "part"]).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 #: Documents of a group of candidates that one task compares with as many others.
