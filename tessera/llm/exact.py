@@ -3,7 +3,8 @@
 Rows meet in three steps, and every step groups by digest and by the whole text, so texts that differ never merge:
 each task merges its own rows before the shuffle, rows of one digest are then merged in SALTS salted groups, and the
 salts' winners are merged at last. A group of any size therefore reaches the last step as SALTS rows at most.
-Verdicts return to the rows by digest; should two texts ever share one, their rows are joined by the text too.
+Verdicts return to the rows the same way, to each salted group by digest and salt, so a group of any size is dealt
+over SALTS tasks there as well; should two texts ever share a digest, their rows are joined by the text too.
 
 Null texts count as empty. Of equal texts the largest doc_id stays (a null doc_id is the smallest). Rows that repeat
 text and doc_id are one document: each of them bears kept = true in dedup(), and kept_rows() returns one of them.
@@ -15,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
-
-SALTS = 32
+from tessera.llm.common import each_part, parts, salt, stored
 
 
 def _text(docs: DataFrame, normalise):
@@ -29,18 +28,14 @@ def _digest(text):
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _salt(doc_id):
-    return F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
-
-
 def _prepared(docs: DataFrame, normalise) -> DataFrame:
     return docs.select(docs["doc_id"], _text(docs, normalise).alias("text")).select("doc_id", "text", _digest(F.col("text")).alias("digest"))
 
 
 def winners(docs: DataFrame, normalise=None) -> DataFrame:
-    """digest, text, keep_id, group_size for each different text."""
-    salted = _prepared(docs, normalise).groupBy("digest", _salt(F.col("doc_id")).alias("salt"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    return salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    """digest, text, keep_id, group_size and salts (bits) for each different text."""
+    salted = _prepared(docs, normalise).groupBy("digest", salt(F.col("doc_id")).alias("salt"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    return salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), parts(F.col("salt")).alias("salts"))
 
 
 def dedup(docs: DataFrame, normalise=None) -> DataFrame:
@@ -49,15 +44,16 @@ def dedup(docs: DataFrame, normalise=None) -> DataFrame:
     def out(df):
         return df.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
-    rows, best = _prepared(docs, normalise), winners(docs, normalise)
+    rows, best = _prepared(docs, normalise).withColumn("salt", salt(F.col("doc_id"))), winners(docs, normalise)
     verdicts = stored(best.drop("text"), "winners")
-    by_digest = verdicts.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    plain = out(rows.drop("text").join(by_digest.filter("texts = 1"), "digest"))
-    clash = by_digest.filter("texts > 1").select("digest")
+    clash = verdicts.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
+    keys = ["digest", "salt"]
     if clash.isEmpty():
-        return plain
+        return out(rows.drop("text").join(each_part(verdicts, "salts", "salt"), keys))
     # Different texts of one digest: all of their rows are told apart by the text itself.
-    return plain.unionByName(out(rows.join(clash, "digest").join(best.join(clash, "digest"), ["digest", "text"])))
+    plain = rows.drop("text").join(each_part(verdicts.join(clash, "digest", "left_anti"), "salts", "salt"), keys)
+    rest = each_part(best.join(clash, "digest"), "salts", "salt")
+    return out(plain).unionByName(out(rows.join(rest, [*keys, "text"])))
 
 
 def kept_rows(docs: DataFrame, normalise=None) -> DataFrame:
@@ -68,7 +64,7 @@ def kept_rows(docs: DataFrame, normalise=None) -> DataFrame:
     def best(df, *keys):
         return df.groupBy(*keys).agg(F.max_by("row", "id").alias("row"), F.max("id").alias("id"))
 
-    salted = best(rows, _digest(F.col("text")).alias("digest"), _salt(F.col("id")).alias("salt"), "text")
+    salted = best(rows, _digest(F.col("text")).alias("digest"), salt(F.col("id")).alias("salt"), "text")
     last = best(salted, "digest", "text")
     text = F.when(~F.col("row")["null"], F.col("text"))
     return last.select(*((text if c == "text" and not normalise else F.col("row")[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)))
