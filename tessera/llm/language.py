@@ -1,9 +1,9 @@
 """Language ID (operator 8): rank-order profiles.
 
-A profile lists a language's letter n-grams (1 to 3 characters, words padded by one space) by falling frequency. A
-document's most frequent n-grams are ranked likewise, and the sum of the distances between both ranks, an n-gram
-that the profile lacks counting as the profile's size, tells how far the document is from a language. The nearest
-language wins, ties going to the name that sorts first.
+A profile lists a language's letter n-grams (1 to 3 characters, words padded by one space, triples of two letters at
+least) by falling frequency. A document's most frequent n-grams are ranked likewise, and the sum of the distances
+between both ranks, an n-gram that the profile lacks counting as the profile's size, tells how far the document is from
+a language. The nearest language wins, ties going to the name that sorts first.
 
 Profiles are fitted on at most SAMPLE documents of each language (the bound is a parameter): those of least hash in
 each of CLASSES classes by hash, an equal number from each. Every document is judged by its whole text. Characters
@@ -29,6 +29,8 @@ SAMPLE = 2000
 CLASSES = 50
 #: n-grams that a profile and a document's ranking hold.
 RANKS = 400
+#: Score below which a text that shares n-grams with a profile is of no language: random letters reach 0.24.
+LEAST = 0.25
 _CODE = 21  # bits of a character
 
 
@@ -164,19 +166,33 @@ def identify(docs: DataFrame, held_out: int = 2) -> DataFrame:
     return predict(docs, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose text holds a letter and whose score is `least` at least.
+def accepted(docs: DataFrame, least: float = LEAST, languages: set[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text is of a language, with `lang` as predicted (if there is such a column).
 
-    A text in a script that no profile knows has score 0 and stays by default; without any profile scores don't count.
+    Rejected are texts that are null or hold no letter, texts that share n-grams with the profiles and yet score below
+    `least`, and texts of other languages than `languages` (None: all that were learned). A text that shares no n-gram
+    with any profile is in a script that none of them knows: nothing speaks against it, it stays as `und` unless
+    languages are named. Where no row can teach, all texts with a letter stay as `und`.
     """
     profiles = docs.sparkSession.sparkContext.broadcast(fit(tidy(docs, "doc_id", "text", "lang")))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    text = docs.columns.index("text")
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def verdict(known: Profiles, value: str | None) -> str | None:
+        if not has_letter(value):
+            return None
+        found, score = known.judge(value)
+        if not score:
+            found = "und"
+        elif score < least:
+            return None
+        return found if languages is None or found in languages else None
 
     def run(batches):
         known = profiles.value
         for batch in batches:
-            keep = [has_letter(t) and (known.judge(t)[1] >= least or not known.names) for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            found = [verdict(known, t) for t in batch.column(text).to_pylist()]
+            cols = [pa.array([x or "" for x in found], batch.schema.field(i).type) if i == lang else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([x is not None for x in found], pa.bool_()))
 
     return docs.toDF(*names).mapInArrow(lean(run), docs.toDF(*names).schema).toDF(*docs.columns)
