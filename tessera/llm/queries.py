@@ -11,6 +11,9 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+SHARDS = [f"shard-{i:04d}" for i in range(1000)]
+
+
 def op1_simhash(spark, sf_dir):
     from tessera.llm import simhash
 
@@ -20,8 +23,7 @@ def op1_simhash(spark, sf_dir):
 def op2_sharding(spark, sf_dir):
     from tessera.llm import sharding
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return sharding.place(docs, "doc_id", [f"shard-{i:04d}" for i in range(1000)])
+    return sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
 def op3_embedding_dedup(spark, sf_dir):
@@ -75,7 +77,19 @@ def op10_chat_formatting(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_embedding_dedup, op4_bpe, op5_token_blocks, op6_suffix_dedup, op7_packing, op8_language_id, op9_exact_dedup, op10_chat_formatting)}
 
+
+
+def _slots_sql() -> str:
+    """Documents with their shard, by a table of slots that is one string of four digits a slot."""
+    from tessera.llm import sharding
+
+    table = "".join(f"{i:04d}" for i in sharding.fill(SHARDS))
+    slot = f"CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS}"
+    return f"SELECT *, 'shard-' || substr('{table}', CAST(4 * ({slot}) + 1 AS BIGINT), 4) AS shard FROM documents"
+
+
 ORACLE_SQL = {
+    "op2_sharding": _slots_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
