@@ -28,6 +28,8 @@ _RANK = 40  # bits of a rank below the length in a place's key
 
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     """(how many sequences, their lengths) from counts by length (index 0 to capacity)."""
+    if capacity < 1:
+        raise ValueError("a sequence must hold a token at least")
     counts, out, lengths = histogram.astype(np.int64).copy(), [], np.arange(capacity + 1)
     counts[0] = 0
     while counts.any():
@@ -123,6 +125,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: boo
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of every document."""
+    if capacity < 1:
+        raise ValueError("a sequence must hold a token at least")
     spark = docs.sparkSession
     made = stored(pieces(docs, path, capacity, end_id, keep_ids), "pieces")  # ranks count only if they stay
     each = made.groupBy("length", "task").agg(F.count("*").alias("n"))
