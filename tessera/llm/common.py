@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Parts in which the rows of one key meet before they meet as a whole; at most 63.
 SALTS = 32
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 2000
 #: Bytes of text that one vectorised step handles at once in a Python worker.
 SLICE_BYTES = 8 << 20
 
@@ -40,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Hold the session to BATCH_ROWS rows in an Arrow batch, so that JVM and Python workers need little room for it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _written(spark: SparkSession) -> list[str]:
     sc = spark.sparkContext
     if not hasattr(sc, "_tessera_written"):
@@ -50,6 +60,7 @@ def _written(spark: SparkSession) -> list[str]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written(spark).append(path)
@@ -90,7 +101,8 @@ def each_part(df: DataFrame, bits: str, to: str) -> DataFrame:
 
 
 def tidy(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns named, whatever else the table holds."""
+    """Only the columns named, whatever else the table holds, for an Arrow function."""
+    short_batches(df.sparkSession)
     return df.select(*(df[c] for c in columns))
 
 

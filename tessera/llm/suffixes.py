@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lean, spans, stored
+from tessera.llm.common import lean, short_batches, spans, stored
 
 WIDTH = 100
 GRAM = 32
@@ -95,7 +95,7 @@ def draw_bases() -> list[int]:
     return [secrets.randbelow(_P - 1000) + 500 for _ in range(BASES)]
 
 
-@functools.lru_cache(4 * BASES)
+@functools.lru_cache(12)
 def _powers(base: int) -> np.ndarray:
     out = np.ones(PIECE + 1, np.uint64)
     n = 1
@@ -626,6 +626,7 @@ def _sort(width: int, bases: list[int], last: bool):
 
 def _marked(docs: DataFrame) -> DataFrame:
     """The rows with __id and __mark, which together tell documents apart."""
+    short_batches(docs.sparkSession)
     return docs.withColumns({"__id": F.coalesce(docs["doc_id"], F.lit(-(2**63))), "__mark": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
 
 
