@@ -36,6 +36,8 @@ WORD = 64
 SEED = 42
 #: Members of a run that are compared with each other at once.
 BLOCK = 2048
+#: Members of a long run that are compared with all others first.
+PIVOTS = 32
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -165,11 +167,25 @@ def forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, verify:
         k += 1
         at = at[left[at] > k]
     for s, n in zip(starts[size > 256].tolist(), size[size > 256].tolist()):
+        # Members that nothing has joined yet are compared with all, so that a group of copies soon is one component;
+        # then blocks of members are, unless all of both belong together.
+        tried = s
+        for _ in range(PIVOTS):
+            while tried < s + n and labels[tried] != tried:
+                tried += 1
+            if tried == s + n:
+                break
+            x = s + np.flatnonzero(verify(kind, [fp[s : s + n, w] ^ fp[tried, w] for w in range(fp.shape[1])]))
+            labels = merge_labels(labels, x, np.full(len(x), tried))
+            tried += 1
+        order = s + np.argsort(labels[s : s + n], kind="stable")
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
-                a, b = fp[s + i : s + min(n, i + BLOCK)], fp[s + j : s + min(n, j + BLOCK)]
-                x, y = np.nonzero(verify(kind, [a[:, None, w] ^ b[None, :, w] for w in range(fp.shape[1])]))
-                labels = merge_labels(labels, s + i + x, s + j + y)
+                p, q = order[i : i + BLOCK], order[j : j + BLOCK]
+                if (labels[p] == labels[p[0]]).all() and (labels[q] == labels[p[0]]).all():
+                    continue
+                x, y = np.nonzero(verify(kind, [fp[p, w][:, None] ^ fp[q, w][None, :] for w in range(fp.shape[1])]))
+                labels = merge_labels(labels, p[x], q[y])
     out = np.flatnonzero(labels != np.arange(len(key)))
     return ids[out], ids[labels[out]]
 
@@ -232,6 +248,11 @@ def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int
 
 #: Documents of a group of candidates that one task compares with as many others.
 DEALT = 1024
+#: Shingles of more documents than OFTEN, as estimated from a SHARE of the rows, come last in the order of shingles.
+OFTEN = 4096
+SHARE = 1 / 64
+#: Shingles listed as such at most, the most frequent first: 8 bytes each.
+LISTED = 1 << 18
 #: Columns of the 0/1 matrix of documents and shingles that are multiplied at once.
 COLUMNS = 4096
 
@@ -261,15 +282,51 @@ def leading(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9 * n) + 1
 
 
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of very many documents, ascending, from a sample of the rows."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def counted():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+        for batch in batches:
+            for t in pc.fill_null(batch.column("text").cast(pa.binary()), b""):
+                held.append(shingle_set(t.as_py(), words))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    counts = tidy(docs, "text").sample(SHARE, seed=1).mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= max(2, OFTEN * SHARE)).orderBy(F.desc("n"), "h").limit(LISTED).collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+
 def sketches(docs: DataFrame, words: int, bits: int, least: float) -> DataFrame:
-    """doc_id, digest of the shingle set, fingerprint of the set, leading shingles."""
+    """doc_id, digest of the shingle set, fingerprint of the set, leading shingles.
+
+    Shingles are ordered by hash, but those of very many documents come last. The order is one for all documents, and
+    any order will do; this one keeps a passage found everywhere from leading, and so from tying its documents together.
+    """
+    listed = frequent(docs, words)
+
+    def in_order(h):
+        if not len(listed):
+            return h
+        often = listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
+        return np.concatenate([h[~often], h[often]])
 
     def run(batches):
         for batch in batches:
             rows = []
             for t in pc.fill_null(batch.column("text").cast(pa.binary()), b""):
                 h = shingle_set(t.as_py(), words)
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()), majority(h, bits), h[: leading(len(h), least)].view(np.int64)))
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), majority(h, bits), in_order(h)[: leading(len(h), least)].view(np.int64)))
             fps = np.array([r[1] for r in rows], np.uint64).reshape(-1, bits // WORD).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.binary()), *(pa.array(fps[:, w].copy()) for w in range(bits // WORD)), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc_id", "digest", *names(bits), "lead"])
 

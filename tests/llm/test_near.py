@@ -76,3 +76,21 @@ def test_groups_dealt_over_tasks(spark, sf, monkeypatch):
     odd = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f"), (4, "x y"), (9, "x  y"), (None, "z")], "doc_id long, text string")
     assert sorted(((r.doc_id or 0, r.component_id or 0) for r in simhash.similar_components(odd).collect())) == [(0, 0), (0, 4), (0, 4), (4, 4), (4, 4), (9, 4)]
     assert simhash.kept_rows(odd).count() == 5 and simhash.kept_rows(odd.limit(0)).count() == 0
+
+
+def test_passages_found_everywhere(spark, monkeypatch):
+    """Neither the list of frequent shingles nor the pivots of long runs change what is linked."""
+    rng = np.random.default_rng(14)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"x{x}" for x in rng.integers(0, 10**12, 60 if i % 3 else 4))) for i in range(700)]
+    rows += [(1000 + i, rows[3 * i][1] + " more") for i in range(50)] + [(2000, passage), (2001, None)]
+    want = brute(rows)
+    monkeypatch.setattr(simhash, "OFTEN", 100)
+    monkeypatch.setattr(simhash, "SHARE", 1.0)
+    df = frame(spark, rows)
+    assert len(simhash.frequent(df, 5)) == 36
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()} == want
+    monkeypatch.setattr(simhash, "OFTEN", 10**9)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "PIVOTS", 3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()} == want
