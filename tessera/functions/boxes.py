@@ -17,7 +17,7 @@ def inside(box: Box, of=F.col) -> Column:
 def counts(df: DataFrame, boxes: list[Box]) -> DataFrame:
     """box_id, n: exact counts of all boxes in one pass."""
     one = df.agg(*(F.count_if(inside(b)).alias(f"n{i}") for i, b in enumerate(boxes)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("box_id"), F.col(f"n{i}").alias("n")) for i in range(len(boxes))))).alias("r")).select("r.*")
+    return one.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("box_id"), F.col(f"n{i}").alias("n")) for i in range(len(boxes))))).alias("r")).select("r.*")
 
 
 def uniform_count(q_lo: Column, q_hi: Column, lo: Column, hi: Column) -> Column:
@@ -30,10 +30,6 @@ def overlap_class(q_lo: Column, q_hi: Column, lo: Column, hi: Column) -> Column:
     return F.when((q_lo > hi) | (q_hi < lo), 0).when((q_lo >= lo) & (q_hi <= hi), 2).otherwise(1)
 
 
-def overlaps_open(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
-    return (a_lo < b_hi) & (b_lo < a_hi)
-
-
 def clip(q_lo: Column, q_hi: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
     return F.greatest(q_lo, lo), F.least(q_hi, hi)
 
@@ -67,3 +63,25 @@ def extend_chebyshev(df: DataFrame, box: Box, b: int) -> float:
     far = F.greatest(*(F.abs(F.col(d) - (lo + hi) / 2) / ((hi - lo) / 2) for d, (lo, hi) in box.items() if hi > lo), F.lit(0.0))
     rows = df.select(far.alias("far")).orderBy("far").limit(b + 1).agg(F.max("far").alias("far")).first()
     return rows.far
+
+
+def extend_sides(df: DataFrame, box: Box, domain: Box, b: int) -> tuple[Box, int]:
+    """The box, and how many rows it then holds, moved out to the domain's ends side by side, in the order of dimensions
+    and lower before upper, until it holds b rows; the side that gets there stops at the least move that suffices.
+
+    A job for each side that isn't enough, and one to find the order statistic on the last.
+    """
+    n = df.where(inside(box)).count()
+    if n >= b:
+        return box, n
+    for d in box:
+        for k in (0, 1):
+            wide = box | {d: (domain[d][0], box[d][1]) if k == 0 else (box[d][0], domain[d][1])}
+            size = df.where(inside(wide)).count()
+            if size >= b:
+                added = df.where(inside(wide) & ~inside(box)).select(d).orderBy(F.col(d).desc() if k == 0 else F.col(d).asc()).limit(b - n)
+                edge = added.agg((F.min if k == 0 else F.max)(d).alias("x")).first().x
+                out = box | {d: (float(edge), box[d][1]) if k == 0 else (box[d][0], float(edge))}
+                return out, df.where(inside(out)).count()
+            box, n = wide, size
+    return box, n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
@@ -81,5 +81,44 @@ def step_cost(right_rows: int, rows: int, rate: float = 1.0, weight: int = DEFAU
     return int((weight * right_rows + rows) / rate)
 
 
-def rank_within(df: DataFrame, by: list[str], order, to: str = "rank") -> DataFrame:
-    return df.withColumn(to, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def chain(first: DataFrame, steps: list[tuple[DataFrame, str, str]], rows: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """First-match joins one after another, and for each step (rows so far, rows of the next table, cost).
+
+    steps: (table, column of what is joined so far, column of the table). A step whose key is there already is left out.
+    One count for each table and step; what a step yields is counted, not held.
+    """
+    out, costs = first, []
+    held = first.count() if rows is None else rows
+    for table, left, right in steps:
+        if right in out.columns:
+            continue
+        n = table.count()
+        costs.append((held, n, step_cost(n, held)))
+        out = first_match(out, table, left, right) if held <= n else first_match(table, out, right, left)
+        held = out.count()
+    return out, costs
+
+
+def main_table_rows(blocks: dict[int, int], asked: list[set[int]]) -> int:
+    """Rows that hyper joins read of the main table: the blocks of each query, whatever their partners."""
+    return sum(blocks[i] for ids in asked for i in ids)
+
+
+def side_report(tree, queries: list, key: str, depth: int) -> list[tuple[int, int, int, float]]:
+    """For each query: top-layer nodes that it touches, blocks, rows, and how long the nodes' key ranges are together."""
+    out = []
+    for box in queries:
+        tops = [n for n in tree.layer(depth) if all(lo <= n.box[d][1] and n.box[d][0] <= hi for d, (lo, hi) in box.items())]
+        leaves = tree.touched(box)
+        out.append((len(tops), len(leaves), sum(n.size for n in leaves), float(sum(n.box[key][1] - n.box[key][0] for n in tops))))
+    return out
+
+
+def smaller_left(a: tuple[str, str, int], b: tuple[str, str, int]) -> tuple[tuple[str, str, int], tuple[str, str, int]]:
+    """Two sides (table, column, blocks) with the one of fewer blocks first; equals stay."""
+    return (b, a) if a[2] > b[2] else (a, b)
+
+
+def static_cost(left_rows: int, right_rows: int, hyper: bool, weight: int = DEFAULT.shuffle_weight) -> int:
+    """What a join is expected to read: both sides once if co-partitioned, else the right one also through a shuffle."""
+    return left_rows + right_rows if hyper else left_rows + weight * right_rows

@@ -5,12 +5,13 @@ the split value goes right, and both children's boxes hold the value."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
-from tessera.functions.boxes import Box
+from tessera.functions.boxes import Box, inside, merge_open
 
 
 @dataclass
@@ -22,6 +23,16 @@ class Node:
     dim: str | None = None
     value: float | None = None
     irregular: bool = False
+    #: Boxes within an irregular leaf and their rows; the rest of its rows is a block of its own.
+    parts: list[tuple[Box, int]] = field(default_factory=list)
+
+    @property
+    def rest(self) -> int:
+        return self.size - sum(n for _, n in self.parts)
+
+
+#: A leaf's id times PARTS, plus the number of a box in it (from 1; 0 is the rest), names a block.
+PARTS = 64
 
 
 @dataclass
@@ -67,14 +78,48 @@ class Tree:
                     todo += [2 * n.nid + 1, 2 * n.nid]
         return out
 
+    def block(self) -> Column:
+        """The block of a row: its leaf, and in an irregular leaf the box that it lies in, or the rest."""
+        out = self.leaf() * PARTS
+        for n in self.leaves:
+            for i, (box, _) in enumerate(n.parts):
+                out = F.when((self.leaf() == n.nid) & inside(box), n.nid * PARTS + i + 1).otherwise(out)
+        return out
+
+    def blocks(self) -> dict[int, int]:
+        """Rows of each block that has any."""
+        out = {}
+        for n in self.leaves:
+            out |= {n.nid * PARTS: n.rest} | {n.nid * PARTS + i + 1: size for i, (_, size) in enumerate(n.parts)}
+        return {k: v for k, v in out.items() if v}
+
+    def read(self, box: Box) -> int:
+        """Rows of the blocks that a box touches. The rest of an irregular leaf is spared if a box in it holds the query."""
+        total = 0
+        for n in self.touched(box):
+            own = {d: (max(lo, n.box[d][0]), min(hi, n.box[d][1])) for d, (lo, hi) in box.items()}
+            total += sum(size for part, size in n.parts if all(own[d][0] <= part[d][1] and part[d][0] <= own[d][1] for d in own))
+            held = any(all(d in own and part[d][0] <= own[d][0] and own[d][1] <= part[d][1] for d in part if part[d] != n.box[d]) for part, _ in n.parts)
+            total += 0 if held else n.rest
+        return total
+
     def table(self, spark: SparkSession, tree_id: str = "t") -> DataFrame:
         """tree_id, nid, pid, depth, is_leaf, node_size, split dim and value, bounds: also the form in which trees are saved."""
-        rows = [(tree_id, n.nid, n.nid // 2 or -1, n.depth, n.dim is None, n.size, n.dim, n.value, [(d, float(lo), float(hi)) for d, (lo, hi) in n.box.items()]) for n in self.nodes.values()]
-        return spark.createDataFrame(rows, "tree_id string, nid long, pid long, depth int, is_leaf boolean, node_size long, dim string, value double, bounds array<struct<dim:string,lo:double,hi:double>>")
+        bounds = lambda box: [(d, float(lo), float(hi)) for d, (lo, hi) in box.items()]
+        rows = [
+            (tree_id, n.nid, n.nid // 2 or -1, n.depth, n.dim is None, n.size, n.dim, n.value, bounds(n.box), n.irregular, self.join_depth, [(bounds(box), size) for box, size in n.parts])
+            for n in self.nodes.values()
+        ]
+        box = "array<struct<dim:string,lo:double,hi:double>>"
+        kinds = "tree_id string, nid long, pid long, depth int, is_leaf boolean, node_size long, dim string, value double"
+        return spark.createDataFrame(rows, f"{kinds}, bounds {box}, irregular boolean, join_depth int, parts array<struct<bounds:{box},size:long>>")
 
     @staticmethod
     def load(table: DataFrame) -> Tree:
-        return Tree({r.nid: Node(r.nid, {b.dim: (b.lo, b.hi) for b in r.bounds}, r.node_size, r.depth, r.dim, r.value) for r in table.collect()})
+        box = lambda bounds: {b.dim: (b.lo, b.hi) for b in bounds}
+        rows = table.collect()  # nodes of one tree
+        nodes = {r.nid: Node(r.nid, box(r.bounds), r.node_size, r.depth, r.dim, r.value, r.irregular, [(box(p.bounds), p.size) for p in r.parts]) for r in rows}
+        return Tree(nodes, rows[0].join_depth if rows else 0)
 
     def leaf_table(self, spark: SparkSession, dims: list[str]) -> DataFrame:
         """leaf, n, and lo_/hi_ of each dimension."""
@@ -226,41 +271,190 @@ def best_depth(df: DataFrame, key: str, dims: list[str], queries: list[Box], b:
     return d, t
 
 
-def bounding_split(df: DataFrame, node: Node, queries: list[Box], b: int) -> tuple[bool, int, Box]:
-    """(valid, gain, box): the clipped bounding box of all queries against the rest of a node."""
-    own = _touch(node.box, queries)
-    if not own:
-        return False, 0, node.box
-    box = {d: (max(lo, min(q.get(d, (lo, hi))[0] for q in own)), min(hi, max(q.get(d, (lo, hi))[1] for q in own))) for d, (lo, hi) in node.box.items()}
-    from tessera.functions.boxes import inside
+def around(queries: list[Box], box: Box) -> Box:
+    """The bounding box of the queries, within a box."""
+    return {d: (max(lo, min(q.get(d, (lo, hi))[0] for q in queries)), min(hi, max(q.get(d, (lo, hi))[1] for q in queries))) for d, (lo, hi) in box.items()}
+
+
+def overlaps(a: Box, b: Box) -> bool:
+    return all(lo <= b[d][1] and b[d][0] <= hi for d, (lo, hi) in a.items() if d in b)
+
 
-    size = df.where(inside(node.box) & inside(box)).count()
-    return size >= b and node.size - size >= b, len(own) * (node.size - size), box
+def sides(queries: list[Box], box: Box, dim: str, value: float) -> tuple[list[Box], list[Box], list[Box]]:
+    """Queries wholly left of a cut, wholly right of it, and across it."""
+    left, right, across = [], [], []
+    for q in queries:
+        lo, hi = q.get(dim, box[dim])
+        (right if lo >= value else left if hi <= value else across).append(q)
+    return left, right, across
+
+
+def merged_boxes(queries: list[Box], box: Box) -> list[tuple[Box, int]]:
+    """Bounding boxes, within a box, of the sets of queries that overlap openly, and how many queries each holds."""
+    whole = [{d: q.get(d, r) for d, r in box.items()} for q in queries]
+    groups = merge_open(whole)
+    count = lambda g: sum(all(g[d][0] <= q[d][0] and q[d][1] <= g[d][1] for d in g) for q in whole)
+    return [(around([g], box), count(g)) for g in groups]
+
+
+def forced_merge(groups: list[tuple[Box, int]], count, b: int) -> list[tuple[Box, int, int]]:
+    """(box, queries, rows): boxes merged, the pair of least queries x rows first, until each holds b rows or one is left.
+
+    count: rows of each box of a list, in one pass.
+    """
+    have = [(box, n, size) for (box, n), size in zip(groups, count([g for g, _ in groups]))]
+    while len(have) > 1 and any(size < b for _, _, size in have):
+        pairs = [(i, j) for i in range(len(have)) for j in range(i + 1, len(have))]
+        joined = [{d: (min(lo, have[j][0][d][0]), max(hi, have[j][0][d][1])) for d, (lo, hi) in have[i][0].items()} for i, j in pairs]
+        sizes = count(joined)
+        k = min(range(len(pairs)), key=lambda k: ((have[pairs[k][0]][1] + have[pairs[k][1]][1]) * sizes[k], pairs[k]))
+        i, j = pairs[k]
+        new = joined[k], have[i][1] + have[j][1], sizes[k]
+        have = [h for x, h in enumerate(have) if x not in (i, j)] + [new]
+    return have
+
+
+def _leaf_counts(df: DataFrame, tree: Tree, todo: dict[int, list[Box]]) -> dict[int, list[int]]:
+    """Rows of boxes in leaves, for all leaves in one pass."""
+    if not todo:
+        return {}
+    width = max(map(len, todo.values()))
+    ones = [F.count_if(reduce(lambda a, k: a | ((F.col("leaf") == k) & inside(todo[k][i])), (k for k in todo if len(todo[k]) > i), F.lit(False))).alias(f"n{i}") for i in range(width)]
+    rows = df.withColumn("leaf", tree.leaf()).where(F.col("leaf").isin(list(todo))).groupBy("leaf").agg(*ones).collect()
+    found = {r.leaf: [r[f"n{i}"] for i in range(len(todo[r.leaf]))] for r in rows}
+    return {k: found.get(k, [0] * len(v)) for k, v in todo.items()}
+
+
+def dual_split(node: Node, queries: list[Box], dim: str, value: float, left: int, sizes: dict, b: int) -> tuple[int, list[tuple[Box, int]]] | None:
+    """(rows spared, [(left box, rows), (right box, rows)]) of a split into two bounding boxes and the rest, or None if a
+    part holds under b rows. left: rows left of the cut; sizes: rows of the boxes around either side's queries."""
+    own_left, own_right, across = sides(queries, node.box, dim, value)
+    boxes, rows = [], []
+    for own, naive, half in ((own_left, left, (node.box[dim][0], value)), (own_right, node.size - left, (value, node.box[dim][1]))):
+        boxes.append(around(own, node.box) if own else node.box | {dim: half})
+        rows.append(sizes[_key(boxes[-1])] if own else naive)
+    rest = node.size - sum(rows)
+    if min(*rows, rest) < b:
+        return None
+    cost = len(own_left) * rows[0] + len(own_right) * rows[1] + len(across) * rest
+    for q in across:
+        cost += sum(n for own, box, n in zip((own_left, own_right), boxes, rows) if not own or overlaps(box, q))
+    return len(queries) * node.size - cost, list(zip(boxes, rows))
+
+
+def _key(box: Box) -> tuple:
+    return tuple(sorted(box.items()))
+
+
+def nora_tree(df: DataFrame, dims: list[str], queries: list[Box], b: int, max_levels: int = 32) -> Tree:
+    """Query-driven cuts that spare rows; medians are cuts too in leaves of under 4b rows. A leaf of under 3b rows may
+    instead become a bounding box of its queries and a rest, one of under 4b rows, cut into halves of under 2b, two boxes
+    and a rest: an irregular leaf, which isn't split any more. What spares most wins, a plain cut among equals.
+
+    A sweep takes two jobs: one counts all cuts of all leaves, one the boxes that they suggest.
+    """
+    tree, closed = root(df, dims), set()
+    for _ in range(max_levels):
+        todo = [n for n in tree.leaves if n.nid not in closed and not n.irregular and n.size >= 2 * b]
+        if not todo:
+            break
+        own = {n.nid: _touch(n.box, queries) for n in todo}
+        cuts = {n.nid: candidate_cuts(n.box, own[n.nid]) for n in todo}
+        rows = df.withColumn("leaf", tree.leaf()).where(F.col("leaf").isin([n.nid for n in todo]))
+        small = [n.nid for n in todo if n.size < 4 * b]
+        for d in dims if small else []:
+            for nid, m in exact_medians(rows.where(F.col("leaf").isin(small)).select("leaf", d), "leaf", d).items():
+                if tree.nodes[nid].box[d][0] < m < tree.nodes[nid].box[d][1]:
+                    cuts[nid].append((d, float(m)))
+        every = list(dict.fromkeys(c for cs in cuts.values() for c in cs))
+        counted = {r.leaf: r for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), *(F.count_if(F.col(d) < v).alias(f"c{i}") for i, (d, v) in enumerate(every))).collect()}
+        left = {(n.nid, c): counted[n.nid][f"c{every.index(c)}"] for n in todo for c in cuts[n.nid]}
+        ask: dict[int, dict] = {}
+        for n in todo:
+            boxes = [around(own[n.nid], n.box)] if own[n.nid] and n.size < 3 * b else []
+            if 3 * b <= n.size < 4 * b:
+                boxes += [around(side, n.box) for d, v in cuts[n.nid] if max(left[n.nid, (d, v)], n.size - left[n.nid, (d, v)]) < 2 * b for side in sides(own[n.nid], n.box, d, v)[:2] if side]
+            if boxes:
+                ask[n.nid] = {_key(x): x for x in boxes}
+        sizes = {k: dict(zip(ask[k], v)) for k, v in _leaf_counts(df, tree, {k: list(v.values()) for k, v in ask.items()}).items()}
+        split = False
+        for n in todo:
+            best = None
+            for d, v in cuts[n.nid]:
+                lo = left[n.nid, (d, v)]
+                if lo >= b and n.size - lo >= b and (g := gain(own[n.nid], n.box, d, v, n.size, lo)) > (best[0] if best else 0):
+                    best = g, (d, v, lo), None
+                if n.size < 3 * b and own[n.nid]:
+                    box = around(own[n.nid], n.box)
+                    size = sizes[n.nid][_key(box)]
+                    if size >= b and n.size - size >= b and (g := len(own[n.nid]) * (n.size - size)) > (best[0] if best else 0):
+                        best = g, None, [(box, size)]
+                elif 3 * b <= n.size < 4 * b and max(lo, n.size - lo) < 2 * b:
+                    found = dual_split(n, own[n.nid], d, v, lo, sizes.get(n.nid, {}), b)
+                    if found and found[0] > (best[0] if best else 0):
+                        best = found[0], None, found[1]
+            if best is None:
+                closed.add(n.nid)
+            elif best[1]:
+                tree.split(n.nid, *best[1])
+                split = True
+            else:
+                n.irregular, n.parts = True, best[2]
+        if not split:
+            break
+    return tree
 
 
-def nora_tree(df: DataFrame, dims: list[str], queries: list[Box], b: int) -> tuple[Tree, dict[int, tuple[Box, int]]]:
-    """Query-driven cuts that gain, and bounding splits of leaves of under 3b rows: leaf -> (inner box, its rows).
-    The rest of such a leaf is an irregular block with the leaf's own box."""
-    tree, inner = query_tree(df, dims, queries, b, medians=False, least_gain=1), {}
+def paw_tree(df: DataFrame, key: str | None, dims: list[str], queries: list[Box], b: int, depth: int = 0, medians: bool = True, bounding: float = 0) -> Tree:
+    """The join tree to the full: medians of the key to a depth (none with bounding splits), then query-driven cuts, with
+    each dimension's median among them if wished. With `bounding`, leaves of 2b to bounding x b rows that no cut halves
+    become irregular where group_split() allows it."""
+    top = median_tree(df, key, depth, b, dims) if key and not bounding else root(df, dims)
+    tree = query_tree(df, dims, queries, b, top, medians)
     for n in tree.leaves:
-        if n.size < 3 * b:
-            ok, g, box = bounding_split(df.where(tree.leaf() == n.nid), n, queries, b)
-            if ok and g > 0:
-                inner[n.nid] = box, n.size - g // max(1, len(_touch(n.box, queries)))
-                n.irregular = True
-    return tree, inner
+        if 2 * b <= n.size <= bounding * b:
+            group_split(df, tree, n.nid, queries, b)
+    return tree
+
+
+def group_split(df: DataFrame, tree: Tree, nid: int, queries: list[Box], b: int) -> int | None:
+    """Makes a leaf irregular, a block for each merged box of its queries and a rest, if all of these hold b rows; the
+    rows that this spares its queries, or None."""
+    n = tree.nodes[nid]
+    own = _touch(n.box, queries)
+    if not own:
+        return None
+    parts = forced_merge(merged_boxes(own, n.box), lambda boxes: _leaf_counts(df, tree, {nid: boxes})[nid], b)
+    if min(size for _, _, size in parts) < b or n.size - sum(size for _, _, size in parts) < b:
+        return None
+    n.irregular, n.parts = True, [(box, size) for box, _, size in parts]
+    return len(own) * n.size - sum(k * size for _, k, size in parts)
+
+
+def adaptdb_tree(df: DataFrame, key: str, dims: list[str], queries: list[Box], b: int, levels: int = 2) -> Tree:
+    """Medians of the join key for a fixed number of levels, query-driven cuts below."""
+    return pac_tree(df, key, dims, queries, b, levels)
+
+
+def join_cost(tree: Tree, asks: list[tuple[Box, set[str]]], keys: set[str], workers: int) -> float:
+    """Twice the rows that a workload's queries (box, join keys) read of a tree, rounded up to whole rounds of the workers;
+    infinite if a query joins on none of the keys."""
+    if any(not used & keys for _, used in asks):
+        return float("inf")
+    return -(-2 * sum(tree.read(box) for box, _ in asks) // workers) * workers
 
 
 def pando_cuts(queries: list[Box], dim: str, lo: float, hi: float, max_depth: int) -> list[float]:
-    """Cuts of one dimension's tree: the query end that best halves the queries (both sides some), to a depth."""
-    ranges = [(max(lo, q[dim][0]), min(hi, q[dim][1])) for q in queries if dim in q and q[dim][0] <= hi and q[dim][1] >= lo]
-    if not max_depth or not ranges:
-        return []
+    """Cuts of one dimension's tree, to a depth. A range is cut at the query end (the smallest of equals) where the
+    numbers of queries that reach into either side, by more than a point, differ least, as long as both sides have some."""
+    ends = sorted({x for q in queries if dim in q and q[dim][0] < q[dim][1] for x in q[dim]})
     best = None
-    for v in dict.fromkeys(x for r in ranges for x in r):
-        left, right = sum(b <= v for _, b in ranges), sum(a >= v for a, _ in ranges)
-        if lo < v < hi and left and right and (best is None or abs(left - right) < best[0]):
-            best = abs(left - right), v
+    for v in ends if max_depth else []:
+        if lo < v < hi:
+            left = sum(max(lo, q[dim][0]) < min(v, q[dim][1]) for q in queries if dim in q)
+            right = sum(max(v, q[dim][0]) < min(hi, q[dim][1]) for q in queries if dim in q)
+            if left and right and (best is None or abs(left - right) < best[0]):
+                best = abs(left - right), v
     if best is None:
         return []
     v = best[1]

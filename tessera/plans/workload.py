@@ -26,11 +26,11 @@ WORKLOAD: dict[int, tuple[dict[str, str | None], list[Edge]]] = {
 }
 
 
-def filtered_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filtered_ranges(spark: SparkSession, sf_dir: str, declared: dict | None = None) -> DataFrame:
     """query_id, table_name, dim, lo, hi: the ranges that each query's own filters leave; one pass over each table."""
     parts = []
     for table, dims in DIMS.items():
-        asks = [(q, tables[table]) for q, (tables, _) in WORKLOAD.items() if tables.get(table)]
+        asks = [(q, tables[table]) for q, (tables, _) in (declared or WORKLOAD).items() if tables.get(table)]
         if not asks:
             continue
         aggs, rows = [], []
@@ -44,8 +44,8 @@ def filtered_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(parts).where("lo is not null")
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    rows = [(q, i, *e) for q, (_, es) in WORKLOAD.items() for i, e in enumerate(es)]
+def edges(spark: SparkSession, declared: dict | None = None) -> DataFrame:
+    rows = [(q, i, *e) for q, (_, es) in (declared or WORKLOAD).items() for i, e in enumerate(es)]
     return spark.createDataFrame(rows, "query_id long, ord long, left_table string, left_col string, right_table string, right_col string")
 
 
@@ -117,3 +117,13 @@ def variant(name: str, es: list[Edge], seed: int = 7) -> list[Edge]:
     if name == "mto":
         random.Random(seed).shuffle(es)
     return es
+
+
+def save(spark: SparkSession, path: str, profile: DataFrame, ranges: DataFrame, joins: DataFrame) -> None:
+    """A workload's metadata as three Parquet tables: column profiles, query ranges and join edges."""
+    for name, df in (("profile", profile), ("ranges", ranges), ("edges", joins)):
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("profile", "ranges", "edges"))

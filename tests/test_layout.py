@@ -49,10 +49,82 @@ def test_medians_of_large_groups(lines):
     assert trees.exact_medians(df, "l_linenumber", "l_extendedprice", bound=50) == pytest.approx(trees.exact_medians(df, "l_linenumber", "l_extendedprice"))
 
 
-def test_nora(lines):
-    tree, inner = trees.nora_tree(lines, DIMS, BOXES, 1500)
-    for nid, (box, n) in inner.items():
-        assert lines.where((tree.leaf() == nid) & boxes.inside(box)).count() == n
+def check_blocks(lines, tree, queries):
+    """Blocks hold the rows that the tree says, and what a query touches holds all that it asks for."""
+    own = lines.withColumn("block", tree.block())
+    assert {r.block: r.n for r in own.groupBy("block").agg(F.count("*").alias("n")).collect()} == tree.blocks()
+    for q in queries:
+        hit = {r.block: r.n for r in own.where(boxes.inside(q)).groupBy("block").agg(F.count("*").alias("n")).collect()}
+        assert tree.read(q) >= sum(tree.blocks()[b] for b in hit)
+
+
+@pytest.mark.parametrize("b", [150, 400, 1500])
+def test_nora(spark, lines, b):
+    tree = trees.nora_tree(lines, DIMS, BOXES, b)
+    check_blocks(lines, tree, BOXES)
+    assert min(tree.blocks().values()) >= b and (b != 1500 or any(n.irregular for n in tree.leaves))
+    plain = trees.query_tree(lines, DIMS, BOXES, b, least_gain=1)
+    cost = lambda t: sum(t.read(q) for q in BOXES)
+    assert cost(tree) <= cost(plain)
+    again = trees.Tree.load(tree.table(spark))
+    assert again.blocks() == tree.blocks() and [again.read(q) for q in BOXES] == [tree.read(q) for q in BOXES]
+    assert {n.nid for n in again.leaves if n.irregular} == {n.nid for n in tree.leaves if n.irregular}
+
+
+def test_dual_split_by_hand():
+    node = trees.Node(1, {"x": (0.0, 100.0)}, 40)
+    queries = [{"x": (5.0, 10.0)}, {"x": (8.0, 20.0)}, {"x": (70.0, 90.0)}, {"x": (15.0, 75.0)}]
+    sizes = {trees._key({"x": (5.0, 20.0)}): 12, trees._key({"x": (70.0, 90.0)}): 13}
+    spared, parts = trees.dual_split(node, queries, "x", 50.0, 19, sizes, 10)
+    # Before: 4 x 40. After: two queries read 12, one 13, and the one across all of 15, 12 and 13.
+    assert spared == 160 - (2 * 12 + 13 + 15 + 12 + 13) and [n for _, n in parts] == [12, 13]
+    assert trees.dual_split(node, queries, "x", 50.0, 19, sizes, 13) is None
+    none_left = trees.dual_split(node, queries[2:3], "x", 50.0, 14, sizes, 10)
+    assert none_left == (40 - 13, [({"x": (0.0, 50.0)}, 14), ({"x": (70.0, 90.0)}, 13)])
+
+
+def test_forced_merge():
+    rows = np.arange(100)
+    count = lambda bs: [int(((rows >= b["x"][0]) & (rows <= b["x"][1])).sum()) for b in bs]
+    groups = trees.merged_boxes([{"x": (0.0, 5.0)}, {"x": (3.0, 8.0)}, {"x": (12.0, 14.0)}, {"x": (60.0, 80.0)}, {"x": (-9.0, -1.0)}], {"x": (0.0, 99.0)})
+    assert groups[:3] == [({"x": (0.0, 8.0)}, 2), ({"x": (12.0, 14.0)}, 1), ({"x": (60.0, 80.0)}, 1)]
+    assert trees.forced_merge(groups[:3], count, 12) == [({"x": (60.0, 80.0)}, 1, 21), ({"x": (0.0, 14.0)}, 3, 15)]
+    assert trees.forced_merge(groups[:3], count, 3) == [({"x": (0.0, 8.0)}, 2, 9), ({"x": (12.0, 14.0)}, 1, 3), ({"x": (60.0, 80.0)}, 1, 21)]
+
+
+def test_group_split(lines):
+    tree = trees.root(lines, DIMS)
+    n = tree.nodes[1].size
+    spared = trees.group_split(lines, tree, 1, BOXES, 50)
+    assert tree.nodes[1].irregular and spared == len(BOXES) * (n - tree.nodes[1].parts[0][1])
+    check_blocks(lines, tree, [*BOXES, {"l_orderkey": (0.0, 50.0)}, {"l_quantity": (1.0, 2.0)}])
+    assert trees.group_split(lines, trees.root(lines, DIMS), 1, BOXES, n) is None and trees.group_split(lines, trees.root(lines, DIMS), 1, [], 1) is None
+    check_blocks(lines, trees.paw_tree(lines, None, DIMS, BOXES, 300, bounding=6), BOXES)
+    check_blocks(lines, trees.paw_tree(lines, "l_orderkey", DIMS, BOXES, 300, depth=2), BOXES)
+
+
+def test_pando_cuts():
+    q = [{"x": (0.0, 10.0)}, {"x": (5.0, 20.0)}]
+    # At 5 one query reaches left and two right, at 10 two left and one right: equals, so the smaller; then 10 on its right.
+    assert trees.pando_cuts(q, "x", -1e9, 1e9, 3) == [5.0, 10.0] and trees.pando_cuts(q, "x", -1e9, 1e9, 0) == []
+    assert trees.pando_cuts([{"x": (3.0, 3.0)}, {"y": (0.0, 1.0)}], "x", -9.0, 9.0, 3) == []
+
+
+def test_extend_sides(lines):
+    domain = trees.root(lines, DIMS).nodes[1].box
+    box = {"l_orderkey": (700.0, 710.0), "l_quantity": (20.0, 25.0)}
+    for b in (1, 40, 700, 3000, 10**9):
+        out, n = boxes.extend_sides(lines, box, domain, b)
+        assert n == lines.where(boxes.inside(out)).count() and (n >= b or out == domain)
+        assert all(out[d][0] <= box[d][0] and box[d][1] <= out[d][1] for d in box)
+    assert boxes.extend_sides(lines, box, domain, 40)[0]["l_quantity"] == (20.0, 25.0)
+
+
+def test_join_cost(lines):
+    tree = trees.adaptdb_tree(lines, "l_orderkey", DIMS, BOXES, 200)
+    read = sum(tree.read(b) for b in BOXES)
+    assert trees.join_cost(tree, [(b, {"l_orderkey"}) for b in BOXES], {"l_orderkey"}, 7) == -(-2 * read // 7) * 7
+    assert trees.join_cost(tree, [(BOXES[0], {"l_partkey"})], {"l_orderkey"}, 7) == float("inf")
 
 
 def test_groups():
@@ -100,3 +172,62 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_statements(spark, tmp_path):
+    from tessera.plans import compile as C
+
+    text = "-- select 1;\nselect a -- b;\nfrom t;\nnoise;\nCREATE  VIEW v AS\nselect 1;\n\nwith x as (select 2)\nselect * from x;\nselect unfinished"
+    want = ["select a\nfrom t", "CREATE  VIEW v AS\nselect 1", "with x as (select 2)\nselect * from x"]
+    assert C.statements(text) == want and C.statements("") == []
+    (tmp_path / "b.sql").write_text("select 3;")
+    (tmp_path / "a.sql").write_text(text)
+    (tmp_path / "c.txt").write_text("select 4;")
+    assert C.read_statements(spark, str(tmp_path)) == [*want, "select 3"]
+
+
+def test_join_kinds(spark, sf):
+    from tessera.plans import compile as C
+
+    T.register(spark, sf)
+    sql = """select o_orderkey, q from orders left join (select max(l_quantity) as q, l_orderkey as k from lineitem group by l_orderkey) on o_orderkey = k
+        where not exists (select 1 from customer where c_custkey = o_custkey and c_acctbal < 0) and o_totalprice > o_custkey"""
+    found = {tuple(r)[2:] for r in C.edge_table(spark, [sql]).collect()}
+    assert found == {("orders", "o_orderkey", "lineitem", "l_orderkey", "LEFT OUTER"), ("customer", "c_custkey", "orders", "o_custkey", "LEFT ANTI")}
+    assert [t for t, _ in C.Plan(spark, sql).predicates] == ["orders", "customer"]
+    assert C.Plan(spark, "select 1 as x").edges == [] and C.workload(spark, []) == {}
+
+
+def test_metadata_and_reports(spark, sf, tmp_path):
+    from tessera import registry as R
+    from tessera.plans import workload
+
+    made = [R.QUERIES[n](spark, sf) for n in ("profile_minmax", "filtered_ranges")] + [workload.edges(spark)]
+    workload.save(spark, str(tmp_path / "w"), *made)
+    for a, b in zip(made, workload.restore(spark, str(tmp_path / "w"))):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    report = select.Evaluation(spark, sf)
+    report.save(str(tmp_path / "r"))
+    query, table, times = (spark.read.option("header", True).csv(str(tmp_path / "r" / n)) for n in ("query_cost", "table_cost", "time_cost"))
+    assert query.count() == 24 and times.count() == 3 and table.where("table_name = 'avg'").count() == 3
+    # Each step is charged to two tables by halves.
+    halves = {r.model: r.c for r in table.where("table_name <> 'avg'").groupBy("model").agg(F.sum(F.col("join_cost").cast("double")).alias("c")).collect()}
+    joined = [q for q, (_, es) in workload.WORKLOAD.items() if es]
+    whole = {r.model: r.c for r in query.where(F.col("query_id").isin(joined)).groupBy("model").agg(F.sum(F.col("read_rows").cast("long") + F.col("chain_rows").cast("long")).alias("c")).collect()}
+    assert all(0 <= whole[m] - halves[m] <= 40 for m in whole)
+
+
+def test_sources(spark, sf, tmp_path):
+    df = T.load(spark, sf, "lineitem")
+    assert T.sampled(df, 1.0) is df and abs(T.sampled(df, 0.25, 3).count() - df.count() / 4) < 6 * (df.count() * 3 / 16) ** 0.5
+    assert T.sample_rate([5, 40_000, 20_000], 10_000, 10_000) == 0.25 and T.sample_rate([5], 1, 10) == 1.0
+    spark.sql("drop table if exists lay_l")
+    spark.sql("drop table if exists lay_o")
+    try:
+        T.write_bucketed(df, "l_orderkey", 4, "lay_l")
+        T.write_bucketed(T.load(spark, sf, "orders"), "o_orderkey", 4, "lay_o")
+        joined = spark.table("lay_l").hint("merge").join(spark.table("lay_o"), F.col("l_orderkey") == F.col("o_orderkey"))
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == df.count()
+    finally:
+        spark.sql("drop table if exists lay_l")
+        spark.sql("drop table if exists lay_o")
