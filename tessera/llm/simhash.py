@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import each_part, lean, parts, salt, stored, tidy
@@ -246,8 +246,10 @@ def components_of(docs: DataFrame, words: int = 5, max_bits: int = 2, bits: int
     return own.join(each_part(named, "bits", "part"), [*fs, "part"]).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: Documents of a group of candidates that one task compares with as many others.
-DEALT = 1024
+#: Documents of a group of candidates that one task compares with each other, or with as many others.
+DEALT = 256
+#: Of a block, documents that speak for it: so many of each of its two largest components.
+SPEAKERS = 4
 #: Shingles of more documents than OFTEN, as estimated from a SHARE of the rows, come last in the order of shingles.
 OFTEN = 4096
 SHARE = 1 / 64
@@ -354,31 +356,21 @@ def exact_forest(sets: list[np.ndarray], half: np.ndarray | None, least: float)
     return out, labels[out]
 
 
-def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
-    """a, b: links that span the pairs of documents of one group (id, top) whose shingle sets are similar."""
-    members = stored(groups.select("id", "top").unionByName(groups.select(F.col("top").alias("id"), "top").distinct()), "members")
-    counts = members.groupBy("top").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
-    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).join(members, "id").join(counts, "top").select("id", "text", "top", "blocks")
-
-    def to_sets(batches):
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("top"), batch.column("blocks"), pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())], ["id", "top", "blocks", "set"])
+def _forests(rows: DataFrame, least: float) -> DataFrame:
+    """a, b: links that span the similar pairs of each task (top, x, y) of rows (.., own, id, set).
 
-    # A document of block i goes to the tasks (i, 0..i) and (i+1.., i), so every pair of a group meets.
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = texts.mapInArrow(lean(to_sets), "id long, top long, blocks int, set binary").withColumn("mine", mine)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("top", F.greatest("mine", "other").alias("hi"), F.least("mine", "other").alias("lo"), "mine", "id", "set")
-    keys = ["top", "hi", "lo"]
+    own: null to compare all with each other; else only pairs of different `own` count.
+    """
+    keys = ["top", "x", "y"]
 
     def run(batches):
         held, now = [], None
 
         def flush():
             ids = np.concatenate([h.column("id").to_numpy() for h in held])
-            mine = np.concatenate([h.column("mine").to_numpy() for h in held])
+            own = pa.concat_arrays([h.column("own") for h in held])
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for h in held for x in h.column("set")]
-            half = None if now[1] == now[2] else mine == now[1]
+            half = None if own.null_count else own.to_numpy(zero_copy_only=False).astype(bool)
             if half is not None and (half.all() or not half.any()):
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             a, b = exact_forest(sets, half, least)
@@ -402,6 +394,63 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float)
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long")
 
 
+def _within_blocks(sets: DataFrame, least: float) -> DataFrame:
+    """Links of documents (top, n, id, set) of one block of a group, n being the group's size."""
+    return _forests(sets.select("top", _block().alias("x"), F.lit(0).alias("y"), F.lit(None).cast("boolean").alias("own"), "id", "set"), least)
+
+
+def _block():
+    return F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / DEALT)).cast("int")
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """a, b: links that join what similar pairs of documents of one group (id, top) join.
+
+    Documents of a block of a group are compared with each other. In a group of several blocks, a few documents of each
+    block's largest components are compared next, in blocks again until one is left. Groups of near copies are mostly
+    one component by then. All documents outside of a group's largest component are compared with all of the group, so
+    no similar pair that would join anything is left out.
+    """
+    members = stored(groups.select("id", "top").unionByName(groups.select(F.col("top").alias("id"), "top").distinct()), "members")
+    counts = stored(members.groupBy("top").agg(F.count("*").alias("n")), "groups")
+    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).join(members, "id").join(counts, "top").select("id", "text", "top", "n")
+
+    def to_sets(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("top"), batch.column("n"), pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())], ["id", "top", "n", "set"])
+
+    kinds = "id long, top long, n long, set binary"
+    near = _within_blocks(texts.mapInArrow(lean(to_sets), kinds), least)
+    if counts.filter(F.col("n") > DEALT).isEmpty():
+        return near
+    near = stored(near, "near")
+    whole = stored(texts.filter(F.col("n") > DEALT).mapInArrow(lean(to_sets), kinds), "sets")
+    speakers, found = whole, near
+    for _ in range(16):  # each turn leaves a small part; what it leaves undone, the last step does
+        labels = components(found).withColumnsRenamed({"a": "id", "b": "label"})
+        named = speakers.join(labels, "id", "left").withColumns({"label": F.coalesce("label", "id"), "block": _block()})
+        own = Window.partitionBy("top", "block", "label")
+        sized = named.withColumn("size", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("id")))
+        best = F.dense_rank().over(Window.partitionBy("top", "block").orderBy(F.desc("size"), "label"))
+        chosen = stored(sized.withColumn("best", best).filter((F.col("best") <= 2) & (F.col("turn") <= SPEAKERS)).select("id", "top", "set"), "speakers")
+        several = stored(chosen.groupBy("top").agg(F.count("*").alias("n")), "groups")
+        speakers = chosen.join(several, "top").select("id", "top", "n", "set")
+        found = stored(found.unionByName(_within_blocks(speakers, least)), "found")
+        if several.filter(F.col("n") > DEALT).isEmpty():
+            break
+    labels = components(found).withColumnsRenamed({"a": "id", "b": "label"})
+    named = stored(whole.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
+    sizes = named.groupBy("top", "label").agg(F.count("*").alias("k"))
+    main = stored(sizes.groupBy("top").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0"), "main")
+    every = named.join(main, "top").withColumns({"blocks": F.ceil(F.col("others") / DEALT).cast("int"), "chunks": F.ceil(F.col("n") / DEALT).cast("int")})
+    deal = lambda seed, by: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(by)).cast("int")
+    all_of = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    rest = every.filter(F.col("label") != F.col("main")).select("top", deal(1, "blocks").alias("x"), all_of("chunks").alias("y"), F.lit(True).alias("own"), "id", "set")
+    against = every.select("top", all_of("blocks").alias("x"), deal(2, "chunks").alias("y"), F.lit(False).alias("own"), "id", "set")
+    return found.unionByName(_forests(rest.unionByName(against), least))
+
+
 def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 72) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of shingles reach the similarity (Jaccard) `least`.
 

@@ -65,6 +65,7 @@ def test_templated_texts_stay(spark, sf):
 
 def test_groups_dealt_over_tasks(spark, sf, monkeypatch):
     monkeypatch.setattr(simhash, "DEALT", 7)
+    monkeypatch.setattr(simhash, "SPEAKERS", 2)
     monkeypatch.setattr(simhash, "COLUMNS", 13)
     rng = np.random.default_rng(13)
     base = [f"b{i}" for i in range(64)]
