@@ -132,6 +132,14 @@ def root(df: DataFrame, dims: list[str]) -> Tree:
     return Tree({1: Node(1, {d: (float(r[f"lo_{d}"] or 0), float(r[f"hi_{d}"] or 0)) for d in dims}, r.n)})
 
 
+def medians_of(df: DataFrame, group: str, keys: list[str], sizes: dict, bound: int = DEFAULT.median_rows) -> dict[str, dict]:
+    """Exact medians of several keys in each group, whose rows are known: one job if no group has over `bound` rows."""
+    if max(sizes.values(), default=0) > bound:
+        return {k: exact_medians(df.select(group, k), group, k, bound) for k in keys}
+    rows = df.groupBy(group).agg(*(F.percentile(k, 0.5).alias(f"m{i}") for i, k in enumerate(keys))).collect()
+    return {k: {r[group]: r[f"m{i}"] for r in rows if r[f"m{i}"] is not None} for i, k in enumerate(keys)}
+
+
 def exact_medians(df: DataFrame, group: str, key: str, bound: int = DEFAULT.median_rows) -> dict:
     """Exact median of key in each group. Groups are few; a group of over `bound` rows is first narrowed around its
     middle by approximate quantiles and counts, so no task ever sorts or holds more than about `bound` rows of one."""
@@ -180,7 +188,7 @@ def median_tree(df: DataFrame, key: str, levels: int, b: int, dims: list[str] |
         if not open_:
             break
         rows = df.select(key, tree.leaf().alias("leaf")).where(F.col("leaf").isin([n.nid for n in open_]))
-        medians = exact_medians(rows, "leaf", key)
+        medians = medians_of(rows, "leaf", [key], {n.nid: n.size for n in open_})[key]
         cut = F.element_at(F.create_map(*(F.lit(x) for g, m in medians.items() for x in (g, float(m)))), F.col("leaf"))
         for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if(F.col(key) < cut).alias("nl")).collect():
             if r.nl >= b and r.n - r.nl >= b:
@@ -210,6 +218,35 @@ def _touch(box: Box, queries: list[Box]) -> list[Box]:
     return [q for q in queries if all(lo <= box[d][1] and box[d][0] <= hi for d, (lo, hi) in q.items())]
 
 
+#: Cuts that one aggregate counts by an expression each; more are counted by their ranges.
+CUTS = 64
+
+
+def left_counts(rows: DataFrame, cuts: dict[int, list[tuple[str, float]]]) -> dict[tuple, int]:
+    """(leaf, cut) -> rows of the leaf below the cut, for all cuts of all leaves in one job.
+
+    Many cuts are sorted for each dimension, a row finds its range by binary search, and what lies below a cut is a
+    prefix of the ranges' counts.
+    """
+    every = list(dict.fromkeys(c for cs in cuts.values() for c in cs))
+    if len(every) <= CUTS:
+        aggs = [F.count_if(F.col(d) < v).alias(f"c{i}") for i, (d, v) in enumerate(every)]
+        found = {r.leaf: r for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), *aggs).collect()}
+        return {(leaf, c): found[leaf][f"c{every.index(c)}"] if leaf in found else 0 for leaf, cs in cuts.items() for c in cs}
+    from pyspark.ml.feature import Bucketizer
+
+    ends = {d: sorted({v for x, v in every if x == d}) for d in dict.fromkeys(d for d, _ in every)}
+    ranged = rows
+    for i, (d, vs) in enumerate(ends.items()):
+        ranged = Bucketizer(splits=[-float("inf"), *vs, float("inf")], inputCol=d, outputCol=f"__range{i}", handleInvalid="keep").transform(ranged)
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(f"__range{i}").cast("int").alias("range")) for i, d in enumerate(ends))))
+    below = {(leaf, d): [0] * (len(vs) + 2) for leaf in cuts for d, vs in ends.items()}
+    for r in ranged.select("leaf", each.alias("r")).groupBy("leaf", "r.dim", "r.range").agg(F.count("*").alias("n")).collect():  # a row for each range
+        if r.range is not None:
+            below[r.leaf, r.dim][r.range] += r.n
+    return {(leaf, (d, v)): sum(below[leaf, d][: ends[d].index(v) + 1]) for leaf, cs in cuts.items() for d, v in cs}
+
+
 def query_tree(df: DataFrame, dims: list[str], queries: list[Box], b: int, tree: Tree | None = None, medians: bool = False, least_gain: int = 0, max_levels: int = 32) -> Tree:
     """Greedy query-driven tree: every sweep splits each leaf at its best cut (ties: the first one).
 
@@ -222,18 +259,17 @@ def query_tree(df: DataFrame, dims: list[str], queries: list[Box], b: int, tree:
         cuts = {n.nid: candidate_cuts(n.box, _touch(n.box, queries)) for n in todo}
         rows = df.withColumn("leaf", tree.leaf()).where(F.col("leaf").isin([n.nid for n in todo])) if todo else None
         if medians and todo:
-            for d in dims:
-                for nid, m in exact_medians(rows.select("leaf", d), "leaf", d).items():
+            for d, found in medians_of(rows, "leaf", dims, {n.nid: n.size for n in todo}).items():
+                for nid, m in found.items():
                     cuts[nid].append((d, float(m)))
-        every = list(dict.fromkeys(c for cs in cuts.values() for c in cs))
-        if not every:
+        if not any(cuts.values()):
             break
-        counted = {r.leaf: r for r in rows.groupBy("leaf").agg(*(F.count_if(F.col(d) < v).alias(f"c{i}") for i, (d, v) in enumerate(every))).collect()}
+        counted = left_counts(rows, cuts)
         split = False
         for n in todo:
             own, best = _touch(n.box, queries), None
             for d, v in cuts[n.nid]:
-                left = counted[n.nid][f"c{every.index((d, v))}"]
+                left = counted[n.nid, (d, v)]
                 if left >= b and n.size - left >= b:
                     g = gain(own, n.box, d, v, n.size, left)
                     if g >= least_gain and (best is None or g > best[0]):
@@ -362,13 +398,12 @@ def nora_tree(df: DataFrame, dims: list[str], queries: list[Box], b: int, max_le
         cuts = {n.nid: candidate_cuts(n.box, own[n.nid]) for n in todo}
         rows = df.withColumn("leaf", tree.leaf()).where(F.col("leaf").isin([n.nid for n in todo]))
         small = [n.nid for n in todo if n.size < 4 * b]
-        for d in dims if small else []:
-            for nid, m in exact_medians(rows.where(F.col("leaf").isin(small)).select("leaf", d), "leaf", d).items():
+        own_medians = medians_of(rows.where(F.col("leaf").isin(small)), "leaf", dims, {n.nid: n.size for n in todo if n.nid in small}) if small else {}
+        for d, found in own_medians.items():
+            for nid, m in found.items():
                 if tree.nodes[nid].box[d][0] < m < tree.nodes[nid].box[d][1]:
                     cuts[nid].append((d, float(m)))
-        every = list(dict.fromkeys(c for cs in cuts.values() for c in cs))
-        counted = {r.leaf: r for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), *(F.count_if(F.col(d) < v).alias(f"c{i}") for i, (d, v) in enumerate(every))).collect()}
-        left = {(n.nid, c): counted[n.nid][f"c{every.index(c)}"] for n in todo for c in cuts[n.nid]}
+        left = left_counts(rows, cuts)
         ask: dict[int, dict] = {}
         for n in todo:
             boxes = [around(own[n.nid], n.box)] if own[n.nid] and n.size < 3 * b else []

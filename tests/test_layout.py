@@ -44,6 +44,19 @@ def test_first_cut_is_best(lines):
     assert (tree.nodes[1].dim, tree.nodes[1].value) == best[1:]
 
 
+def test_many_cuts(lines, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = lines.select(*DIMS).withColumn("leaf", F.when(F.col("l_quantity") < 20, 2).otherwise(3).cast("long"))
+    cuts = {leaf: [("l_orderkey", float(x)) for x in rng.integers(0, 1500, 60)] + [("l_quantity", float(x)) for x in rng.integers(1, 51, 9)] for leaf in (2, 3)}
+    few = trees.left_counts(rows, {k: v[:20] for k, v in cuts.items()})
+    many = trees.left_counts(rows, cuts)
+    assert len(many) > trees.CUTS and all(many[k] == n for k, n in few.items())
+    tree = trees.query_tree(lines, DIMS, BOXES, 150)
+    monkeypatch.setattr(trees, "CUTS", 0)
+    again = trees.query_tree(lines, DIMS, BOXES, 150)
+    assert {n.nid: (n.size, n.dim, n.value) for n in tree.nodes.values()} == {n.nid: (n.size, n.dim, n.value) for n in again.nodes.values()}
+
+
 def test_medians_of_large_groups(lines):
     df = lines.select("l_linenumber", "l_extendedprice")
     assert trees.exact_medians(df, "l_linenumber", "l_extendedprice", bound=50) == pytest.approx(trees.exact_medians(df, "l_linenumber", "l_extendedprice"))

@@ -8,8 +8,6 @@ import pytest
 from tessera import registry
 from tessera.sources.tables import TABLES
 
-LONG = {"query_cost_report", "model_pivot"}
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
