@@ -133,7 +133,16 @@ def sample_rate_global(spark, sf_dir):
     return spark.createDataFrame([(float(T.sample_rate(rows, 20000, 10000)),)], "rate double")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{'text' if c in ('c_name', 'c_mktsegment', 's_name', 'n_name', 'r_name') else 'dimension'}' AS kind" for t, cs in {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}.items() for c in cs))
+_KIND_COLUMNS = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+}
+_TEXT_COLUMNS = ("c_name", "c_mktsegment", "s_name", "n_name", "r_name")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{'text' if c in _TEXT_COLUMNS else 'dimension'}' AS kind" for t, cs in _KIND_COLUMNS.items() for c in cs))
 def column_kinds(spark, sf_dir):
     return spark.createDataFrame([r for t in ("region", "nation", "customer", "supplier") for r in profile.kinds(T.load(spark, sf_dir, t), t)], "table_name string, column_name string, kind string")
 
@@ -404,7 +413,9 @@ def _tree_sql(table: str, key: str, levels: int) -> str:
         ctes.append(f"s{i} AS (SELECT leaf, count(*) AS n, median(k) AS m FROM a{i} GROUP BY leaf)")
         ctes.append(f"c{i} AS (SELECT a.leaf, s.n, s.m, sum(CASE WHEN a.k < s.m THEN 1 ELSE 0 END) AS nl FROM a{i} a JOIN s{i} s ON a.leaf = s.leaf GROUP BY a.leaf, s.n, s.m)")
         ok = f"(c.nl >= p.b AND c.n - c.nl >= p.b AND c.leaf >= {2**i})"
-        ctes.append(f"a{i + 1} AS (SELECT a.k, CAST(CASE WHEN {ok} THEN 2 * a.leaf + CASE WHEN a.k < c.m THEN 0 ELSE 1 END ELSE a.leaf END AS BIGINT) AS leaf, CASE WHEN {ok} AND a.k >= c.m THEN c.m ELSE a.lo END AS lo, CASE WHEN {ok} AND a.k < c.m THEN c.m ELSE a.hi END AS hi FROM a{i} a JOIN c{i} c ON a.leaf = c.leaf CROSS JOIN p)")
+        leaf = f"CAST(CASE WHEN {ok} THEN 2 * a.leaf + CASE WHEN a.k < c.m THEN 0 ELSE 1 END ELSE a.leaf END AS BIGINT) AS leaf"
+        ends = f"CASE WHEN {ok} AND a.k >= c.m THEN c.m ELSE a.lo END AS lo, CASE WHEN {ok} AND a.k < c.m THEN c.m ELSE a.hi END AS hi"
+        ctes.append(f"a{i + 1} AS (SELECT a.k, {leaf}, {ends} FROM a{i} a JOIN c{i} c ON a.leaf = c.leaf CROSS JOIN p)")
     return ", ".join(ctes)
 
 
@@ -700,7 +711,8 @@ def hyper_cost(spark, sf_dir):
     return joins.hyper_cost(o, groups)
 
 
-@query(f"WITH o AS {_OVERLAP_SQL}, a AS (SELECT sum(a_n) AS a_rows FROM (SELECT DISTINCT a_leaf, a_n FROM o) x), b AS (SELECT sum(b_n) AS b_rows FROM (SELECT DISTINCT b_leaf, b_n FROM o) x) SELECT CAST(a_rows AS BIGINT) AS a_rows, CAST(b_rows AS BIGINT) AS b_rows, CAST(3 * (a_rows + b_rows) AS BIGINT) AS cost FROM a, b")
+@query(f"""WITH o AS {_OVERLAP_SQL}, a AS (SELECT sum(a_n) AS a_rows FROM (SELECT DISTINCT a_leaf, a_n FROM o) x), b AS (SELECT sum(b_n) AS b_rows FROM (SELECT DISTINCT b_leaf, b_n FROM o) x)
+    SELECT CAST(a_rows AS BIGINT) AS a_rows, CAST(b_rows AS BIGINT) AS b_rows, CAST(3 * (a_rows + b_rows) AS BIGINT) AS cost FROM a, b""")
 def shuffle_cost(spark, sf_dir):
     return joins.shuffle_cost(_overlap(spark, sf_dir))
 
@@ -745,7 +757,12 @@ _FIRST_SQL = """s1 AS (SELECT n_nationkey, c_custkey FROM nation JOIN (SELECT c_
 def chained_first_match(spark, sf_dir):
     """What each step of a chain of first-match joins reads, by the rows that the steps before it really leave."""
     load = lambda t, *c: T.load(spark, sf_dir, t).select(*c)
-    steps = [(load("customer", "c_nationkey", "c_custkey"), "n_nationkey", "c_nationkey"), (load("orders", "o_custkey", "o_orderkey"), "c_custkey", "o_custkey"), (load("customer", "c_custkey"), "o_custkey", "c_custkey"), (load("lineitem", "l_orderkey", "l_linenumber", "l_partkey"), "o_orderkey", "l_orderkey")]
+    steps = [
+        (load("customer", "c_nationkey", "c_custkey"), "n_nationkey", "c_nationkey"),
+        (load("orders", "o_custkey", "o_orderkey"), "c_custkey", "o_custkey"),
+        (load("customer", "c_custkey"), "o_custkey", "c_custkey"),  # left out: its key is there already
+        (load("lineitem", "l_orderkey", "l_linenumber", "l_partkey"), "o_orderkey", "l_orderkey"),
+    ]
     _, costs = joins.chain(load("nation", "n_nationkey"), steps)
     return spark.createDataFrame([(i, *c) for i, c in enumerate(costs)], "step long, held long, other long, cost long")
 
@@ -794,7 +811,11 @@ def chain_shuffle_cost(spark, sf_dir):
     return spark.createDataFrame([(joins.step_cost(nation.count(), held),)], "cost long")
 
 
-@query("SELECT round((SELECT count(*) FROM orders WHERE o_totalprice < 100000) * CAST(w AS DOUBLE) / (SELECT count(*) FROM orders) / CAST(t AS DOUBLE), 9) AS ratio FROM (SELECT max(length(CAST(o_orderkey AS VARCHAR))) + max(length(CAST(o_custkey AS VARCHAR))) AS w, max(length(CAST(o_orderkey AS VARCHAR))) + max(length(CAST(o_custkey AS VARCHAR))) + max(length(o_orderstatus)) + max(length(o_orderpriority)) AS t FROM orders) x")
+_KEY_WIDTHS = "max(length(CAST(o_orderkey AS VARCHAR))) + max(length(CAST(o_custkey AS VARCHAR)))"
+
+
+@query(f"""SELECT round((SELECT count(*) FROM orders WHERE o_totalprice < 100000) * CAST(w AS DOUBLE) / (SELECT count(*) FROM orders) / CAST(t AS DOUBLE), 9) AS ratio
+    FROM (SELECT {_KEY_WIDTHS} AS w, {_KEY_WIDTHS} + max(length(o_orderstatus)) + max(length(o_orderpriority)) AS t FROM orders) x""")
 def bytes_ratio(spark, sf_dir):
     df = T.load(spark, sf_dir, "orders")
     width = lambda c: F.max(F.length(F.col(c).cast("string")))
@@ -818,7 +839,10 @@ def keys_paw(spark, sf_dir):
     return spark.createDataFrame([], "table_name string, col string")
 
 
-@query(f"SELECT table_name, col, score, place FROM (SELECT s.table_name, s.col, CAST(sum(r.n_rows) AS BIGINT) AS score, row_number() OVER (PARTITION BY s.table_name ORDER BY sum(r.n_rows) DESC, s.col) AS place FROM {_SIDES_SQL} s JOIN ({ORACLE_SQL['profile_rowcounts']}) r ON s.partner = r.table_name JOIN {_CAND_SQL} c ON s.table_name = c.table_name AND s.col = c.col GROUP BY s.table_name, s.col) x WHERE place <= 2")
+@query(f"""SELECT table_name, col, score, place FROM (
+        SELECT s.table_name, s.col, CAST(sum(r.n_rows) AS BIGINT) AS score, row_number() OVER (PARTITION BY s.table_name ORDER BY sum(r.n_rows) DESC, s.col) AS place
+        FROM {_SIDES_SQL} s JOIN ({ORACLE_SQL['profile_rowcounts']}) r ON s.partner = r.table_name JOIN {_CAND_SQL} c ON s.table_name = c.table_name AND s.col = c.col
+        GROUP BY s.table_name, s.col) x WHERE place <= 2""")
 def keys_topk(spark, sf_dir):
     return select.ranked_keys(workload.edges(spark), profile_rowcounts(spark, sf_dir), 2)
 
