@@ -240,6 +240,17 @@ def test_repeated_documents(spark, monkeypatch):
     assert {d if d is not None else -1: v for d, v in got.items()} == want and got[3][1] == 0 and got[5][1] == 600
 
 
+def test_very_long_text(spark):
+    """A text of several rows of text; a passage over the border of two of them stands in another document as well."""
+    rng = np.random.default_rng(1)
+    one, noise = (rng.integers(97, 123, n).astype(np.uint8).tobytes().decode() for n in (suffixes.ROW + (1 << 20), 1 << 19))
+    a = suffixes.ROW - 100_000
+    two = noise + one[a : a + 200_000] + noise[::-1]
+    got = {r.doc_id: r for r in suffixes.report(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()}
+    assert (got[1].n_bytes, got[1].n_removed) == (len(one), 0) and (got[2].n_removed, got[2].n_spans) == (200_000, 1)
+    assert got[2].kept_sha256 == hashlib.sha256((noise + noise[::-1]).encode()).hexdigest()
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
