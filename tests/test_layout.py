@@ -244,3 +244,16 @@ def test_sources(spark, sf, tmp_path):
     finally:
         spark.sql("drop table if exists lay_l")
         spark.sql("drop table if exists lay_o")
+
+
+def test_reductions_and_sweeps(spark, sf):
+    from tessera import registry as R
+
+    rows = R.QUERIES["query_cost_report"](spark, sf).collect()
+    cost = lambda m, skip=(): np.mean([r.read_rows + r.chain_rows for r in rows if r.model == m and r.query_id not in skip])
+    got = {r.model: r for r in R.QUERIES["model_reduction"](spark, sf).collect()}
+    for m in ("paw", "ad_mto", "pac"):
+        assert got[m].rows_per_query == pytest.approx(cost(m)) and got[m].fewer_pct == pytest.approx(100 * (1 - cost(m) / cost("paw")), abs=0.06)
+    swept = {(r.blocks, r.replicas, r.model): r.rows_per_query for r in select.sweep(spark, sf, [32], [3], skip=(8,)).collect()}
+    assert swept == {(32, 3, m): pytest.approx(cost(m, (8,))) for m in got}
+    assert R.QUERIES["keys_paw"](spark, sf).count() == 0
