@@ -451,7 +451,7 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float)
     return found.unionByName(_forests(rest.unionByName(against), least))
 
 
-def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 72) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 84) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of shingles reach the similarity (Jaccard) `least`.
 
     Similar sets share one of their leading shingles (those of least hash), so every such pair meets in a run. There
@@ -468,7 +468,7 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits
     return own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
-def kept_rows(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 72) -> DataFrame:
+def kept_rows(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 84) -> DataFrame:
     """The rows of docs, all columns, that are the smallest doc_id of their component of similar_components().
 
     Rows without doc_id stay.

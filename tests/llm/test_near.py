@@ -95,3 +95,12 @@ def test_passages_found_everywhere(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     monkeypatch.setattr(simhash, "PIVOTS", 3)
     assert {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()} == want
+
+
+def test_shortest_similar_texts(spark, sf):
+    """Eight and nine words: four of five shingles, the pairs whose fingerprints differ most."""
+    rng = np.random.default_rng(13)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**12, 9)] for _ in range(4000)]
+    rows = [(2 * i + k, " ".join(t[: 8 + k])) for i, t in enumerate(texts) for k in (0, 1)]
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), sf)
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 8000, 2))
