@@ -205,6 +205,12 @@ def candidate_cuts(box: Box, queries: list[Box]) -> list[tuple[str, float]]:
     return list(dict.fromkeys(out))
 
 
+def key_cuts(box: Box, queries: list[Box], key: str, median: float | None) -> list[float]:
+    """Ends of queries on a join key that lie in a box, its ends included, query by query, and the rows' median last."""
+    ends = [float(v) for q in queries for v in q.get(key, ()) if box[key][0] <= v <= box[key][1]]
+    return ends if median is None else [*ends, float(median)]
+
+
 def gain(queries: list[Box], box: Box, dim: str, value: float, n: int, left: int) -> int:
     """Rows that a cut spares the queries of a node."""
     whole = box[dim]
@@ -333,6 +339,15 @@ def merged_boxes(queries: list[Box], box: Box) -> list[tuple[Box, int]]:
     return [(around([g], box), count(g)) for g in groups]
 
 
+def cut_merged(queries: list[Box], box: Box, dim: str, value: float) -> tuple[list[Box], list[Box]]:
+    """What lies left and right of a cut of the bounding boxes of queries that overlap openly. A bounding box across the
+    cut is taken apart: its queries that reach a side are merged anew there, unclipped."""
+    whole = [{d: q.get(d, r) for d, r in box.items()} for q in queries]
+    left, right, across = sides(merge_open(whole), box, dim, value)
+    apart = [q for q in whole if any(all(g[d][0] <= q[d][0] and q[d][1] <= g[d][1] for d in g) for g in across)]
+    return left + merge_open([q for q in apart if q[dim][0] < value]), right + merge_open([q for q in apart if q[dim][1] > value])
+
+
 def forced_merge(groups: list[tuple[Box, int]], count, b: int) -> list[tuple[Box, int, int]]:
     """(box, queries, rows): boxes merged, the pair of least queries x rows first, until each holds b rows or one is left.
 

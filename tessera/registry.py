@@ -198,11 +198,14 @@ def mbr_of_boxes(spark, sf_dir):
     return boxes.bounding(_box_table(spark, sf_dir))
 
 
-def _merged_sql(rounds: int) -> str:
-    """CTEs m0 to m<rounds>: every box grows to hold all that overlap it openly, so equal boxes are left in the end."""
-    meets = "a.lo_k < b.hi_k AND b.lo_k < a.hi_k AND a.lo_q < b.hi_q AND b.lo_q < a.hi_q"
-    grow = "a.box_id, min(b.lo_k) AS lo_k, max(b.hi_k) AS hi_k, min(b.lo_q) AS lo_q, max(b.hi_q) AS hi_q"
-    return f"m0 AS {_WIDE_SQL}, " + ", ".join(f"m{i + 1} AS (SELECT {grow} FROM m{i} a JOIN m{i} b ON {meets} GROUP BY a.box_id)" for i in range(rounds))
+def _merged_sql(rounds: int, name: str = "m", of: str = _WIDE_SQL, by: str = "box_id") -> str:
+    """CTEs m0 to m<rounds>: every box grows to hold all that overlap it openly, so equal boxes are left in the end. Only
+    boxes that are equal in what `by` names besides the id can meet."""
+    same = [c for c in by.split(", ") if c != "box_id"]
+    meets = " AND ".join(["a.lo_k < b.hi_k AND b.lo_k < a.hi_k AND a.lo_q < b.hi_q AND b.lo_q < a.hi_q", *(f"a.{c} = b.{c}" for c in same)])
+    keys = ", ".join(f"a.{c}" for c in by.split(", "))
+    grow = f"{keys}, min(b.lo_k) AS lo_k, max(b.hi_k) AS hi_k, min(b.lo_q) AS lo_q, max(b.hi_q) AS hi_q"
+    return f"{name}0 AS {of}, " + ", ".join(f"{name}{i + 1} AS (SELECT {grow} FROM {name}{i} a JOIN {name}{i} b ON {meets} GROUP BY {keys})" for i in range(rounds))
 
 
 @query(f"""WITH {_merged_sql(4)}, b AS (SELECT DISTINCT lo_k, hi_k, lo_q, hi_q FROM m4)
@@ -481,6 +484,34 @@ def candidate_cuts(spark, sf_dir):
     return spark.createDataFrame([(i, d, v) for i, (d, v) in enumerate(cuts)], "ord long, dim string, v double")
 
 
+_SIDES_SQL = """(SELECT 'L' AS side, w.box_id, w.lo_k, w.hi_k, w.lo_q, w.hi_q FROM m0 w JOIN m4 m ON m.box_id = w.box_id, z WHERE m.lo_k < v AND m.hi_k > v AND w.lo_k < v
+    UNION ALL SELECT 'R', w.box_id, w.lo_k, w.hi_k, w.lo_q, w.hi_q FROM m0 w JOIN m4 m ON m.box_id = w.box_id, z WHERE m.lo_k < v AND m.hi_k > v AND w.hi_k > v)"""
+
+
+#: The cut goes through a bounding box of three boxes, of which one lies across it too.
+@query(f"""WITH {_merged_sql(4)}, z AS (SELECT floor(950 * s) AS v FROM {_SCALE_SQL} y), {_merged_sql(4, "s", _SIDES_SQL, "side, box_id")},
+    b AS (SELECT DISTINCT side, lo_k, hi_k, lo_q, hi_q FROM s4 UNION SELECT CASE WHEN lo_k >= v THEN 'R' ELSE 'L' END, lo_k, hi_k, lo_q, hi_q FROM m4, z WHERE lo_k >= v OR hi_k <= v)
+    SELECT side, b.lo_k, b.hi_k, b.lo_q, b.hi_q, count(l_orderkey) AS n FROM b LEFT JOIN lineitem ON {_IN_BOX} GROUP BY side, b.lo_k, b.hi_k, b.lo_q, b.hi_q""")
+def mbr_split(spark, sf_dir):
+    own = _boxes(spark, sf_dir)
+    parts = trees.cut_merged(own, {d: (-1e18, 1e18) for d in _DIMS}, "l_orderkey", math.floor(950 * _scale(spark, sf_dir)))
+    found = [(side, b) for side, bs in zip("LR", parts) for b in bs]
+    n = boxes.counts(T.load(spark, sf_dir, "lineitem"), [b for _, b in found])
+    rows = spark.createDataFrame([(i, side, *b["l_orderkey"], *b["l_quantity"]) for i, (side, b) in enumerate(found)], "box_id long, side string, lo_k double, hi_k double, lo_q double, hi_q double")
+    return rows.join(n, "box_id").select("side", "lo_k", "hi_k", "lo_q", "hi_q", "n")
+
+
+@query(f"""WITH d AS (SELECT min(l_orderkey) AS first, max(l_orderkey) AS last, median(CAST(l_orderkey AS DOUBLE)) AS m FROM lineitem),
+    e AS (SELECT 2 * box_id AS pos, lo_k AS v FROM {_WIDE_SQL} a UNION ALL SELECT 2 * box_id + 1, hi_k FROM {_WIDE_SQL} b UNION ALL SELECT 1000, m FROM d)
+    SELECT row_number() OVER (ORDER BY pos) - 1 AS ord, v FROM e, d WHERE v BETWEEN first AND last""")
+def join_key_cuts(spark, sf_dir):
+    df = T.axes(T.load(spark, sf_dir, "lineitem"), "lineitem").select("l_orderkey", F.lit(1).alias("leaf"))
+    whole = trees.root(df, ["l_orderkey"]).nodes[1]
+    median = trees.medians_of(df, "leaf", ["l_orderkey"], {1: whole.size})["l_orderkey"].get(1)
+    cuts = trees.key_cuts(whole.box, _boxes(spark, sf_dir), "l_orderkey", median)
+    return spark.createDataFrame(list(enumerate(cuts)), "ord long, v double")
+
+
 def _query_tree_sql(levels: int, medians: int = 0) -> str:
     """CTEs whose last, n<medians + levels>, holds a query-driven tree's leaves; medians: levels of key medians on top."""
     side = lambda x: f"CASE WHEN c.dim = 'l_orderkey' THEN {x}.k ELSE {x}.q END"

@@ -257,3 +257,14 @@ def test_reductions_and_sweeps(spark, sf):
     swept = {(r.blocks, r.replicas, r.model): r.rows_per_query for r in select.sweep(spark, sf, [32], [3], skip=(8,)).collect()}
     assert swept == {(32, 3, m): pytest.approx(cost(m, (8,))) for m in got}
     assert R.QUERIES["keys_paw"](spark, sf).count() == 0
+
+
+def test_cuts_by_hand():
+    box = {"x": (0.0, 10.0), "y": (0.0, 10.0)}
+    own = [{"x": (1.0, 4.0), "y": (0.0, 2.0)}, {"x": (3.0, 8.0), "y": (1.0, 3.0)}, {"x": (7.0, 9.0), "y": (2.0, 5.0)}, {"x": (0.0, 2.0), "y": (8.0, 9.0)}, {"x": (5.0, 6.0), "y": (7.0, 8.0)}]
+    left, right = trees.cut_merged(own, box, "x", 5.0)
+    assert left == [own[3], {"x": (1.0, 8.0), "y": (0.0, 3.0)}]
+    assert right == [own[4], {"x": (3.0, 9.0), "y": (1.0, 5.0)}]
+    assert trees.cut_merged([], box, "x", 5.0) == ([], [])
+    assert trees.key_cuts(box, [*own[:2], {"y": (0.0, 1.0)}, {"x": (-1.0, 10.0)}], "x", 4.5) == [1.0, 4.0, 3.0, 8.0, 10.0, 4.5]
+    assert trees.key_cuts(box, [], "x", None) == []
