@@ -255,6 +255,8 @@ OFTEN = 4096
 SHARE = 1 / 64
 #: Shingles listed as such at most, the most frequent first: 8 bytes each.
 LISTED = 1 << 18
+#: Documents, by the same estimate, that one task takes at most because they share a leading shingle.
+RUN = 1 << 16
 #: Columns of the 0/1 matrix of documents and shingles that are multiplied at once.
 COLUMNS = 4096
 
@@ -284,8 +286,8 @@ def leading(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9 * n) + 1
 
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of very many documents, ascending, from a sample of the rows."""
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of very many documents, ascending, and of how many, as a sample of the rows tells."""
 
     def run(batches):
         held, size = [], 0
@@ -306,16 +308,17 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
 
     counts = tidy(docs, "text").sample(SHARE, seed=1).mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= max(2, OFTEN * SHARE)).orderBy(F.desc("n"), "h").limit(LISTED).collect()
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order] / SHARE
 
 
-def sketches(docs: DataFrame, words: int, bits: int, least: float) -> DataFrame:
+def sketches(docs: DataFrame, words: int, bits: int, least: float, listed: np.ndarray) -> DataFrame:
     """doc_id, digest of the shingle set, fingerprint of the set, leading shingles.
 
-    Shingles are ordered by hash, but those of very many documents come last. The order is one for all documents, and
+    Shingles are ordered by hash, but those listed, of very many documents, come last. The order is one for all documents, and
     any order will do; this one keeps a passage found everywhere from leading, and so from tying its documents together.
     """
-    listed = frequent(docs, words)
 
     def in_order(h):
         if not len(listed):
@@ -451,18 +454,36 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float)
     return found.unionByName(_forests(rest.unionByName(against), least))
 
 
+def apart(rows: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, id, ...) of other keys than the hot ones, and links (a, b) of all that share a hot key to the least id.
+
+    Hot keys are LISTED at most, so they and their least ids are broadcast, and no task ever holds the rows of one.
+    """
+    if not len(hot):
+        return rows, None
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot.view(np.int64).tolist()], "key long"))
+    shared = rows.join(keys, "key").select("key", "id")
+    least = shared.groupBy("key").agg(F.min("id").alias("b"))
+    links = shared.join(F.broadcast(least), "key").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
+    return rows.join(keys, "key", "left_anti"), links
+
+
 def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 84) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of shingles reach the similarity (Jaccard) `least`.
 
     Similar sets share one of their leading shingles (those of least hash), so every such pair meets in a run. There
     their fingerprints, unless they differ in over max_bits bits, make them candidates; groups of candidates are then
     compared shingle by shingle, all pairs, and only these pairs become links.
+    Documents that share a leading shingle with over RUN others are all candidates, whatever their fingerprints.
     """
     fs = names(bits)
-    own = stored(sketches(docs, words, bits, least), "sketches")
+    listed, counts = frequent(docs, words)
+    own = stored(sketches(docs, words, bits, least, listed), "sketches")
     each = own.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(f).alias(f) for f in fs), F.first("lead").alias("lead"))
     rows = each.filter("id is not null").select(F.lit(0).alias("kind"), F.explode("lead").alias("key"), "id", *fs)
-    groups = components(met(rows, fs, Within(max_bits))).withColumnsRenamed({"a": "id", "b": "top"})
+    rows, together = apart(rows, listed[counts > RUN])
+    pairs = met(rows, fs, Within(max_bits))
+    groups = components(pairs if together is None else pairs.unionByName(together)).withColumnsRenamed({"a": "id", "b": "top"})
     tree = components(similar_links(docs, groups, words, least)).withColumnsRenamed({"a": "id", "b": "top"})
     named = each.select("digest", "id").join(tree, "id", "left").select("digest", F.coalesce("top", "id").alias("component_id"))
     return own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")

@@ -80,7 +80,7 @@ def test_groups_dealt_over_tasks(spark, sf, monkeypatch):
 
 
 def test_passages_found_everywhere(spark, monkeypatch):
-    """Neither the list of frequent shingles nor the pivots of long runs change what is linked."""
+    """Neither the list of frequent shingles, nor keys kept out of runs, nor the pivots of long runs change what is linked."""
     rng = np.random.default_rng(14)
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(i, passage + " " + " ".join(f"x{x}" for x in rng.integers(0, 10**12, 60 if i % 3 else 4))) for i in range(700)]
@@ -89,8 +89,13 @@ def test_passages_found_everywhere(spark, monkeypatch):
     monkeypatch.setattr(simhash, "OFTEN", 100)
     monkeypatch.setattr(simhash, "SHARE", 1.0)
     df = frame(spark, rows)
-    assert len(simhash.frequent(df, 5)) == 36
+    listed, counts = simhash.frequent(df, 5)
+    assert len(listed) == 36 and set(counts.tolist()) == {len(rows) - 1}
     assert {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "RUN", 200)
+        m.setattr(simhash, "DEALT", 50)
+        assert {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()} == want
     monkeypatch.setattr(simhash, "OFTEN", 10**9)
     monkeypatch.setattr(simhash, "BLOCK", 64)
     monkeypatch.setattr(simhash, "PIVOTS", 3)
@@ -104,3 +109,11 @@ def test_shortest_similar_texts(spark, sf):
     rows = [(2 * i + k, " ".join(t[: 8 + k])) for i, t in enumerate(texts) for k in (0, 1)]
     kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), sf)
     assert {r.doc_id for r in kept.collect()} == set(range(0, 8000, 2))
+
+
+def test_apart(spark):
+    rows = spark.createDataFrame([(k, i, 0) for k, ids in ((5, range(10, 40)), (-3, (7, 12, 7)), (8, (1, 2))) for i in ids], "key long, id long, kind int")
+    rest, links = simhash.apart(rows, np.array([5, -3], np.int64).view(np.uint64))
+    assert {(r.key, r.id) for r in rest.collect()} == {(8, 1), (8, 2)}
+    assert sorted(map(tuple, links.collect())) == sorted([(i, 10) for i in range(11, 40)] + [(12, 7)])
+    assert simhash.apart(rows, np.array([], np.uint64))[1] is None
