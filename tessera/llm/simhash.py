@@ -14,13 +14,14 @@ Rows of a null doc_id get the component of the rows they equal, or null. Repeate
 empty table gives an empty result.
 
 kept_rows() serves the pipeline, where near copies are documents whose sets of shingles reach a Jaccard similarity.
-Fingerprints only choose candidates there, among documents that share a leading shingle; see similar_components().
+Pairs found by deletion variants are candidates there, and exact similarities decide; see similar_components().
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ SEED = 42
 BLOCK = 2048
 #: Members of a long run that are compared with all others first.
 PIVOTS = 32
+#: Longer runs of documents of a leading shingle are indexed block by block, and so many members of them at once.
+LONG = 64
+LISTS = 1024
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -142,50 +146,123 @@ class Verify:
         return ok
 
 
-class Within:
+def within(max_bits: int, x: list[np.ndarray]) -> np.ndarray:
     """Whether a pair is close enough, whatever key it was met under."""
+    return sum(np.bitwise_count(w).astype(np.int16) for w in x) <= max_bits
 
-    def __init__(self, max_bits: int):
-        self.max_bits = max_bits
 
-    def __call__(self, kind: int, x: list[np.ndarray]) -> np.ndarray:
-        return sum(np.bitwise_count(w).astype(np.int16) for w in x) <= self.max_bits
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys starts, and how long it is."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(key)]]))
 
 
-def forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, verify: Verify | Within) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that span the close pairs of whole runs of equal keys, of one kind."""
-    new = np.flatnonzero(np.diff(key)) + 1
-    starts = np.concatenate([[0], new])
-    size = np.diff(np.concatenate([starts, [len(key)]]))
+def one_label(labels: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether all of a run have one label, for each run."""
+    return np.maximum.reduceat(labels, starts) == np.minimum.reduceat(labels, starts)
+
+
+def spanned(labels: np.ndarray, member: np.ndarray, key: np.ndarray, fp: np.ndarray, close: Callable) -> np.ndarray:
+    """The labels once the close pairs of each run of equal keys belong together.
+
+    member: which label and fingerprint each key is of. Runs that are one component already are passed over.
+    """
+    starts, size = runs(key)
+    done = one_label(labels[member], starts)
     left = np.repeat(starts + size, size) - np.arange(len(key))  # members from here to the run's end
-    labels = np.arange(len(key))
-    short = np.repeat(size <= 256, size)
+    short = np.repeat(~done & (size <= 256), size)
     at, k = np.flatnonzero(short & (left > 1)), 1
     while len(at):
-        ok = verify(kind, [fp[at, w] ^ fp[at + k, w] for w in range(fp.shape[1])])
-        labels = merge_labels(labels, at[ok], at[ok] + k)
+        p, q = member[at], member[at + k]
+        ok = close([fp[p, w] ^ fp[q, w] for w in range(fp.shape[1])])
+        labels = merge_labels(labels, p[ok], q[ok])
         k += 1
         at = at[left[at] > k]
-    for s, n in zip(starts[size > 256].tolist(), size[size > 256].tolist()):
+    long = ~done & (size > 256)
+    for s, n in zip(starts[long].tolist(), size[long].tolist()):
         # Members that nothing has joined yet are compared with all, so that a group of copies soon is one component;
         # then blocks of members are, unless all of both belong together.
-        tried = s
+        run, tried = member[s : s + n], 0
         for _ in range(PIVOTS):
-            while tried < s + n and labels[tried] != tried:
+            while tried < n and labels[run[tried]] != run[tried]:
                 tried += 1
-            if tried == s + n:
+            if tried == n:
                 break
-            x = s + np.flatnonzero(verify(kind, [fp[s : s + n, w] ^ fp[tried, w] for w in range(fp.shape[1])]))
-            labels = merge_labels(labels, x, np.full(len(x), tried))
+            x = run[close([fp[run, w] ^ fp[run[tried], w] for w in range(fp.shape[1])])]
+            labels = merge_labels(labels, x, np.full(len(x), run[tried]))
             tried += 1
-        order = s + np.argsort(labels[s : s + n], kind="stable")
+        run = run[np.argsort(labels[run], kind="stable")]
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
-                p, q = order[i : i + BLOCK], order[j : j + BLOCK]
+                p, q = run[i : i + BLOCK], run[j : j + BLOCK]
                 if (labels[p] == labels[p[0]]).all() and (labels[q] == labels[p[0]]).all():
                     continue
-                x, y = np.nonzero(verify(kind, [fp[p, w][:, None] ^ fp[q, w][None, :] for w in range(fp.shape[1])]))
+                x, y = np.nonzero(close([fp[p, w][:, None] ^ fp[q, w][None, :] for w in range(fp.shape[1])]))
                 labels = merge_labels(labels, p[x], q[y])
+    return labels
+
+
+def forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, verify: Verify) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the close pairs of whole runs of equal keys, of one kind."""
+    labels = spanned(np.arange(len(key)), np.arange(len(key)), key, fp, functools.partial(verify, kind))
+    out = np.flatnonzero(labels != np.arange(len(key)))
+    return ids[out], ids[labels[out]]
+
+
+def sharing(fp: np.ndarray, other: np.ndarray, segments: list[tuple[int, int, int, bool]]) -> np.ndarray:
+    """Whether each of fp and each of the others share a deletion variant of one of the segments, which are short.
+
+    The others are listed under each of their variants, as bits; each of fp takes the lists of its own.
+    """
+    out = np.zeros((len(fp), -(-len(other) // 8)), np.uint8)
+    for word, low, width, wild in segments:
+        mask, values = np.uint64((1 << width) - 1), np.arange(1 << width)
+        plain = np.packbits((other[:, word] >> np.uint64(low) & mask) == values[:, None].astype(np.uint64), axis=1)
+        lists = plain.copy()
+        for i in range(width if wild else 0):  # without bit i, a value and the one that differs there are one variant
+            lists |= plain[values ^ (1 << i)]
+        out |= lists[(fp[:, word] >> np.uint64(low) & mask).astype(np.intp)]
+    return np.unpackbits(out, axis=1, count=len(other)).astype(bool)
+
+
+def variant_forest(kind: int, key: np.ndarray, ids: np.ndarray, fp: np.ndarray, segments: list[tuple[int, int, int, bool]], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the pairs of whole runs of equal keys that share a deletion variant and are close enough.
+
+    Each run has an index of its own. Members of short runs meet under equal variants, of one segment and wildcard after
+    the other; those of long runs, block by block, by lists of each variant's members, so that a pair is verified once.
+    """
+    starts, size = runs(key)
+    several = np.repeat(size > 1, size)
+    key, ids, fp = key[several], ids[several], fp[several]
+    if not len(key):
+        return ids, ids
+    starts, size = runs(key)
+    run = np.repeat(np.arange(len(starts)), size)
+    labels = np.arange(len(key))
+    long = (size > LONG) & (max(width for _, _, width, _ in segments) <= 8)
+    for s, n in zip(starts[long].tolist(), size[long].tolist()):
+        for i in range(s, s + n, LISTS):
+            for j in range(i, s + n, LISTS):
+                p, q = slice(i, min(i + LISTS, s + n)), slice(j, min(j + LISTS, s + n))
+                if (labels[p] == labels[i]).all() and (labels[q] == labels[i]).all():
+                    continue
+                bits = np.zeros((p.stop - i, q.stop - j), np.int16)
+                for w in range(fp.shape[1]):
+                    bits += np.bitwise_count(fp[p, w][:, None] ^ fp[q, w][None, :])
+                x, y = np.nonzero((bits <= max_bits) & sharing(fp[p], fp[q], segments))
+                labels = merge_labels(labels, i + x, j + y)
+    for word, low, width, wild in segments:
+        at = np.flatnonzero(~(long | one_label(labels, starts))[run])
+        if not len(at):
+            break
+        segment = fp[at, word] >> np.uint64(low) & np.uint64((1 << width) - 1)
+        for i in range(width if wild else 1):
+            value = segment & ~np.uint64(1 << i) if wild else segment
+            if width > 32:
+                value = np.unique(value, return_inverse=True)[1]
+            variant = run[at] << min(width, 32) | value.astype(np.int64)
+            order = np.argsort(variant, kind="stable")
+            labels = spanned(labels, at[order], variant[order], fp, functools.partial(within, max_bits))
     out = np.flatnonzero(labels != np.arange(len(key)))
     return ids[out], ids[labels[out]]
 
@@ -194,18 +271,21 @@ def links(fps: DataFrame, bits: int, segments: int, max_bits: int) -> DataFrame:
     """a, b: ids whose fingerprints (id, f0, ...: all different) differ in at most max_bits bits, as spanning forests."""
     words = names(bits)
     parts = cuts(bits, segments, max_bits)
-    return met(index(fps, parts, words), words, Verify(parts, max_bits))
+    return met(index(fps, parts, words), words, functools.partial(forest, verify=Verify(parts, max_bits)))
+
 
+def met(rows: DataFrame, words: list[str], join: Callable, least: int = 1) -> DataFrame:
+    """a, b: the links that `join` finds (as forest() does) over rows (kind, key, id, fingerprint) of equal keys.
 
-def met(rows: DataFrame, words: list[str], verify: Verify | Within) -> DataFrame:
-    """a, b: spanning forests of the pairs that pass `verify`, over rows (kind, key, id, fingerprint) of equal keys."""
+    It is given whole runs of one kind: at least so many rows at a time, but for the last ones of a kind.
+    """
 
     def run(batches):
         held: list[tuple] = []
 
         def flush():
             key, ids, fp = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
-            a, b = forest(held[0][0], key, ids, fp, verify)
+            a, b = join(held[0][0], key, ids, fp)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -217,15 +297,17 @@ def met(rows: DataFrame, words: list[str], verify: Verify | Within) -> DataFrame
                     continue
                 kind = int(kinds[a])
                 # A run may go on in the next batch: only what precedes the last key is complete.
-                if held and (held[-1][0] != kind or held[-1][1][-1] != key[a]):
+                many = sum(len(h[1]) for h in held) >= least
+                if held and (held[-1][0] != kind or many and held[-1][1][-1] != key[a]):
                     yield flush()
                     held = []
                 other = np.flatnonzero(key[a:b] != key[b - 1])
                 c = a + (int(other[-1]) + 1 if len(other) else 0)
                 if c > a:
                     held.append((kind, key[a:c], ids[a:c], fp[a:c]))
-                    yield flush()
-                    held = []
+                    if sum(len(h[1]) for h in held) >= least:
+                        yield flush()
+                        held = []
                 held.append((kind, key[c:b], ids[c:b], fp[c:b]))
         if held:
             yield flush()
@@ -255,8 +337,10 @@ OFTEN = 4096
 SHARE = 1 / 64
 #: Shingles listed as such at most, the most frequent first: 8 bytes each.
 LISTED = 1 << 18
-#: Documents, by the same estimate, that one task takes at most because they share a leading shingle.
+#: Documents, by the same estimate, that are indexed at once at most because they share a leading shingle.
 RUN = 1 << 16
+#: Rows of leading shingles that are indexed by deletion variants at once, about.
+HELD = 1 << 18
 #: Columns of the 0/1 matrix of documents and shingles that are multiplied at once.
 COLUMNS = 4096
 
@@ -468,22 +552,40 @@ def apart(rows: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame | None
     return rows.join(keys, "key", "left_anti"), links
 
 
+def dealt(rows: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Rows (kind, key, id, ...) with those of hot keys dealt over new keys: any two of one hot key share a new one.
+
+    counts: rows of each hot key, about or at most. They are cut in blocks of about RUN / 2, and every two blocks have a key.
+    """
+    rest, _ = apart(rows, hot)
+    if not len(hot):
+        return rest
+    blocks = 2 * np.ceil(counts / RUN).astype(int)
+    keys = rows.sparkSession.createDataFrame(list(zip(hot.view(np.int64).tolist(), blocks.tolist())), "key long, blocks int")
+    own = rows.join(F.broadcast(keys), "key").withColumn("x", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    pairs = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("x <> y")
+    return rest.unionByName(pairs.withColumn("key", F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).select(rest.columns))
+
+
 def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 256, max_bits: int = 84) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of shingles reach the similarity (Jaccard) `least`.
 
-    Similar sets share one of their leading shingles (those of least hash), so every such pair meets in a run. There
-    their fingerprints, unless they differ in over max_bits bits, make them candidates; groups of candidates are then
-    compared shingle by shingle, all pairs, and only these pairs become links.
-    Documents that share a leading shingle with over RUN others are all candidates, whatever their fingerprints.
+    Candidates are pairs of fingerprints that share a deletion variant of one of max_bits // 2 + 1 segments and differ
+    in at most max_bits bits; so many segments lose no such pair. At this radius a segment is 5 or 6 bits long, so a key
+    is a variant and a leading shingle: similar sets share one of those (the first of theirs in the order of
+    sketches()), so this loses no pair either. Groups of candidates are then compared shingle by shingle, all pairs, and
+    only these pairs become links. A leading shingle of over RUN documents is dealt over several tasks, by pairs of
+    blocks.
     """
     fs = names(bits)
     listed, counts = frequent(docs, words)
     own = stored(sketches(docs, words, bits, least, listed), "sketches")
     each = own.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(f).alias(f) for f in fs), F.first("lead").alias("lead"))
     rows = each.filter("id is not null").select(F.lit(0).alias("kind"), F.explode("lead").alias("key"), "id", *fs)
-    rows, together = apart(rows, listed[counts > RUN])
-    pairs = met(rows, fs, Within(max_bits))
-    groups = components(pairs if together is None else pairs.unionByName(together)).withColumnsRenamed({"a": "id", "b": "top"})
+    rows = dealt(rows, listed[counts > RUN], counts[counts > RUN])
+    segments = cuts(bits, max_bits // 2 + 1, max_bits)
+    pairs = met(rows, fs, functools.partial(variant_forest, segments=segments, max_bits=max_bits), HELD)
+    groups = components(pairs).withColumnsRenamed({"a": "id", "b": "top"})
     tree = components(similar_links(docs, groups, words, least)).withColumnsRenamed({"a": "id", "b": "top"})
     named = each.select("digest", "id").join(tree, "id", "left").select("digest", F.coalesce("top", "id").alias("component_id"))
     return own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
