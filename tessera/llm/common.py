@@ -58,11 +58,20 @@ def _written(spark: SparkSession) -> list[str]:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write df into the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    Shuffle files go as soon as it is written; else they stay until the driver's JVM happens to collect its garbage.
+    """
     spark = df.sparkSession
     short_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     _written(spark).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

@@ -511,22 +511,20 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, least: float)
     near = _within_blocks(texts.mapInArrow(lean(to_sets), kinds), least)
     if counts.filter(F.col("n") > DEALT).isEmpty():
         return near
-    near = stored(near, "near")
     whole = stored(texts.filter(F.col("n") > DEALT).mapInArrow(lean(to_sets), kinds), "sets")
-    speakers, found = whole, near
+    speakers, found = whole, components(near)
     for _ in range(16):  # each turn leaves a small part; what it leaves undone, the last step does
-        labels = components(found).withColumnsRenamed({"a": "id", "b": "label"})
-        named = speakers.join(labels, "id", "left").withColumns({"label": F.coalesce("label", "id"), "block": _block()})
+        named = speakers.join(found.withColumnsRenamed({"a": "id", "b": "label"}), "id", "left").withColumns({"label": F.coalesce("label", "id"), "block": _block()})
         own = Window.partitionBy("top", "block", "label")
         sized = named.withColumn("size", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("id")))
         best = F.dense_rank().over(Window.partitionBy("top", "block").orderBy(F.desc("size"), "label"))
         chosen = stored(sized.withColumn("best", best).filter((F.col("best") <= 2) & (F.col("turn") <= SPEAKERS)).select("id", "top", "set"), "speakers")
         several = stored(chosen.groupBy("top").agg(F.count("*").alias("n")), "groups")
         speakers = chosen.join(several, "top").select("id", "top", "n", "set")
-        found = stored(found.unionByName(_within_blocks(speakers, least)), "found")
+        found = components(found.unionByName(_within_blocks(speakers, least)))
         if several.filter(F.col("n") > DEALT).isEmpty():
             break
-    labels = components(found).withColumnsRenamed({"a": "id", "b": "label"})
+    labels = found.withColumnsRenamed({"a": "id", "b": "label"})
     named = stored(whole.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
     sizes = named.groupBy("top", "label").agg(F.count("*").alias("k"))
     main = stored(sizes.groupBy("top").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0"), "main")
